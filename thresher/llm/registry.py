@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, simhash, tokens
-from ._common import held_out, table, trainable
+from . import decontaminate, langid, licences, mixing, rollups, simhash, tiff, tokens, toxicity, warc
+from ._common import held_out, materialise, shared_dir, table, trainable
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -33,5 +33,83 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_shards, op3_simhash)}
-ORACLE_SQL: dict[str, str] = {}
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return captures.select("page_id", F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.warc_type").alias("record_type"), "refers_to")
+
+
+def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stored = materialise(tiff.from_text(docs).select("doc_id", "media"), "media", "none")
+    pages = tiff.pages(stored)
+    pixels = F.col("tiff.pixels")
+    return pages.select(
+        "doc_id",
+        F.regexp_extract("tiff.description", r"bytes=(\d+)", 1).cast("long").alias("n_bytes"),
+        F.octet_length(pixels).cast("long").alias("payload_bytes"),
+        F.sha2(pixels, 256).alias("payload_sha256"),
+        F.crc32(F.substring(pixels, -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(":", F.concat_ws("x", "tiff.width", "tiff.height"), "tiff.compression", F.hex(F.xxhash64(pixels)), F.round(F.octet_length("media") / F.octet_length(pixels), 4)).alias("feature"),
+    )
+
+
+def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = mixing.plan(table(spark, sf_dir, "documents"))
+    return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
+
+
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = licences.scan(docs, licences.fit(docs))
+    by_doc = found.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("family")), "|").alias("families"), F.count("*").alias("paragraphs"), F.max("probability").alias("probability"), F.max("coverage").alias("coverage"))
+    return docs.select("doc_id").distinct().join(by_doc, "doc_id", "left").select("doc_id", "families", F.coalesce("paragraphs", F.lit(0)).alias("paragraphs"), "probability", "coverage")
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, may = table(spark, sf_dir, "documents"), trainable("doc_id")
+    model = toxicity.fit(docs.where(may), table(spark, sf_dir, "labels").where(may))
+    return toxicity.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Load all documents, recount those on which the newer rule differs, delete exact copies, send the recount again."""
+    docs = table(spark, sf_dir, "documents")
+    slim = materialise(docs.select("doc_id", "source", "lang", F.sha2("text", 256).alias("digest"), *[rollups.count(F.col("text"), v).alias(v) for v in rollups.RULES]), "counts")
+    as_version = lambda df, v: df.select("source", "lang", F.lit(v).alias("tokenizer_version"), F.col(f"`{v}`").alias("n_tokens"))
+    differ = F.col("`words-1`") != F.col("`words-2`")
+    firsts = slim.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first")
+    copies = slim.join(firsts, slim.digest == firsts.d).where("doc_id > first")
+    ledger = rollups.Ledger(spark, shared_dir(spark, "rollup"))
+    recount = rollups.revise(as_version(slim.where(differ), "words-1"), as_version(slim.where(differ), "words-2"))
+    ledger.commit("load", rollups.insert(as_version(slim, "words-1")))
+    ledger.commit("recount", recount)
+    ledger.snapshot()
+    ledger.commit("dedupe", rollups.delete(as_version(copies.where(~differ), "words-1").unionByName(as_version(copies.where(differ), "words-2"))))
+    ledger.commit("recount", recount)
+    return ledger.totals()
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_shards, op3_simhash, op4_warc, op5_tiff, op6_mix, op7_licences, op8_decontamination, op9_toxicity, op10_token_rollups)}
+ORACLE_SQL = {
+    "op4_warc": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY d, n) AS m FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> m THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> m THEN m END AS refers_to
+FROM q""",
+    "op10_token_rollups": r"""
+WITH c AS (SELECT doc_id, source, lang, text,
+       len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS c1,
+       len(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS c2,
+       min(doc_id) OVER (PARTITION BY text) AS first FROM documents)
+SELECT source, lang, CASE WHEN c1 <> c2 THEN 'words-2' ELSE 'words-1' END AS tokenizer_version,
+       count(*)::BIGINT AS docs, sum(CASE WHEN c1 <> c2 THEN c2 ELSE c1 END)::BIGINT AS tokens
+FROM c WHERE text IS NULL OR doc_id = first GROUP BY 1, 2, 3""",
+}
