@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thresher.llm import langid, simhash, tokens
-from thresher.llm._common import materialise, trainable
+from thresher.llm import decontaminate, langid, mixing, simhash, tokens
+from thresher.llm._common import materialise, table, trainable
 from thresher.llm.registry import tokenizer_path
 
 
@@ -21,12 +21,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.deduplicate(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that align with no benchmark item."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the target weights draw them, in mixed order."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token-id shards of what is left, read back: id, start, count and checksum."""
     return tokens.encode(docs, tokens.TokenConfig(tokenizer_path(), width=2)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-STAGES = [("language ID", language), ("near-dedup", near_dedup), ("token output", token_output)]
+STAGES = [("language ID", language), ("near-dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixture), ("token output", token_output)]
 ORACLE_SQL = None
 
 
