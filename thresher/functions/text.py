@@ -15,19 +15,24 @@ MARKER = "\n…[truncated]"
 MARKER_COST = 15
 
 
+#: Unicode White_Space as a plain class (faster than a property test), and the same without the line feed.
+_SPACES = r"\x20\t\r\f\x0B\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+_ANY = f"[\\n{_SPACES}]+"
+
+
 def trim_space(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, f"^{_ANY}|{_ANY}$", "")
 
 
 def compress_text(c: Column) -> Column:
     """Glyphs out, whitespace runs to one space, trimmed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(c, f"[{DECORATIVE}]", ""), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(c, f"[{DECORATIVE}]", ""), _ANY, " "))
 
 
 def compress_block(c: Column) -> Column:
-    """``compress_text`` line by line; runs of blank lines become one."""
-    lines = F.transform(F.split(F.regexp_replace(c, r"\r\n", "\n"), "\n"), compress_text)
-    return trim_space(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
+    """``compress_text`` line by line, as passes over the whole text; runs of blank lines become one."""
+    flat = F.regexp_replace(F.regexp_replace(c, f"[{DECORATIVE}]", ""), f"[{_SPACES}]+", " ")
+    return trim_space(F.regexp_replace(F.regexp_replace(flat, r" *\n *", "\n"), r"\n{3,}", "\n\n"))
 
 
 def token_cost(c: Column) -> Column:
@@ -42,17 +47,20 @@ def token_estimate(c: Column) -> Column:
 
 def truncate_tokens(c: Column, most: Column | int) -> Column:
     """The longest prefix whose cost leaves room for the marker, found by bisection on characters."""
+    steps = max(1, (max(4 * most - MARKER_COST, 0) + 1).bit_length()) if isinstance(most, int) else 24
     most = F.lit(most) if isinstance(most, int) else most
     room = F.greatest(4 * most.cast("long") - MARKER_COST, F.lit(0).cast("long"))
-    state = F.struct(F.lit(0).alias("lo"), F.least(F.length(c), room.cast("int")).alias("hi"))
+    # A character costs one at least, so the cut lies in the first ``room`` characters.
+    head = F.substring(c, F.lit(1), room.cast("int"))
+    state = F.struct(F.lit(0).alias("lo"), F.length(head).alias("hi"), head.alias("head"))
 
     def step(s: Column, _: Column) -> Column:
         mid = F.floor((s["lo"] + s["hi"] + 1) / 2).cast("int")
-        fits = token_cost(F.substring(c, F.lit(1), mid)) <= room
-        return F.struct(F.when(fits, mid).otherwise(s["lo"]).alias("lo"), F.when(fits, s["hi"]).otherwise(mid - 1).alias("hi"))
+        fits = token_cost(F.substring(s["head"], F.lit(1), mid)) <= room
+        return F.struct(F.when(fits, mid).otherwise(s["lo"]).alias("lo"), F.when(fits, s["hi"]).otherwise(mid - 1).alias("hi"), s["head"].alias("head"))
 
-    cut = F.aggregate(F.sequence(F.lit(1), F.lit(24)), state, step, lambda s: s["lo"])
-    return F.when(token_estimate(c) <= most, c).otherwise(F.concat(F.substring(c, F.lit(1), cut), F.lit(MARKER)))
+    cut = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), state, step, lambda s: F.substring(s["head"], F.lit(1), s["lo"]))
+    return F.when(token_estimate(c) <= most, c).otherwise(F.concat(cut, F.lit(MARKER)))
 
 
 def cited(c: Column) -> Column:

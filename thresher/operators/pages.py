@@ -85,6 +85,13 @@ def json_pretty(body: Column) -> Column:
     return F.arrow_udf(column, "string").asNondeterministic()(body)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if it has fewer partitions than half of them (a small or
+    unsplittable file); a large input keeps its scan partitions and isn't shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def convert_pages(df: DataFrame, body: str = "html", url: str = "url", content_type: str | None = None, output: str = "text", max_tokens: int | None = None) -> DataFrame:
     """``df`` with title, final_url, content, content_type, media, token_estimate, status,
     references, metadata, note. A null body gives an empty text result. Columns of ``df`` with
@@ -93,7 +100,7 @@ def convert_pages(df: DataFrame, body: str = "html", url: str = "url", content_t
     names = ["title", "final_url", "content", "content_type", "media", "token_estimate", "status", "references", "metadata", "note"]
     header = F.col(content_type) if content_type else F.lit(None).cast("string")
     raw = F.coalesce(F.col(body), F.lit(""))
-    base = df.withColumns({"__body": raw, "__url": F.coalesce(F.col(url), F.lit("")), "__ct": header}).withColumn("__media", W.media_type(F.col("__ct"), F.col("__body")))
+    base = spread(df).withColumns({"__body": raw, "__url": F.coalesce(F.col(url), F.lit("")), "__ct": header}).withColumn("__media", W.media_type(F.col("__ct"), F.col("__body")))
     base = base.withColumn("__depth", F.when(F.col("__media") == "html", W.nesting_depth(F.col("__body"))))
     deep = F.col("__depth") > W.MAX_DEPTH
     html = F.when((F.col("__media") == "html") & ~deep, F.col("__body"))
@@ -152,7 +159,7 @@ def explode_links(df: DataFrame, doc: str, html: str, url: str) -> DataFrame:
         return pa.array(out, kind)
 
     udf = F.arrow_udf(column, "array<struct<href:string,url:string,text:string>>").asNondeterministic()
-    return df.select(F.col(doc), F.posexplode(udf(F.col(html), F.col(url))).alias("pos", "a")).select(doc, "pos", "a.*")
+    return spread(df).select(F.col(doc), F.posexplode(udf(F.col(html), F.col(url))).alias("pos", "a")).select(doc, "pos", "a.*")
 
 
 def guard_ip(host: Column) -> Column:
