@@ -95,16 +95,15 @@ def lzw_encode(data: bytes) -> bytes:
         put(table[w], width)
         table[w + c] = len(table) + 2
         top = len(table) + 2
-        if top + 1 > 4094:
+        if top > 4094:
             put(256, width)
             table, width = {bytes((k,)): k for k in range(256)}, 9
-        elif top + 1 > (1 << width) - 1 and width < 12:
+        elif top > (1 << width) - 1:
             width += 1
         w = c
     if w:
         put(table[w], width)
-        top = len(table) + 3
-        if top + 1 > (1 << width) - 1 and width < 12:
+        if len(table) + 2 >= (1 << width) - 1 and width < 12:  # the reader adds an entry here
             width += 1
     put(257, width)
     if bits:
