@@ -17,6 +17,8 @@ MARKER_COST = 15
 
 #: Unicode White_Space as a plain class (faster than a property test), and the same without the line feed.
 _SPACES = r"\x20\t\r\f\x0B\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+#: ASCII is ruled out first: the class itself is a chain of tests.
+_GLYPHS = rf"(?![\x00-\x7F])[{DECORATIVE}]"
 _ANY = f"[\\n{_SPACES}]+"
 
 
@@ -26,12 +28,12 @@ def trim_space(c: Column) -> Column:
 
 def compress_text(c: Column) -> Column:
     """Glyphs out, whitespace runs to one space, trimmed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(c, f"[{DECORATIVE}]", ""), _ANY, " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(c, _GLYPHS, ""), _ANY, " "))
 
 
 def compress_block(c: Column) -> Column:
     """``compress_text`` line by line, as passes over the whole text; runs of blank lines become one."""
-    flat = F.regexp_replace(F.regexp_replace(c, f"[{DECORATIVE}]", ""), f"[{_SPACES}]+", " ")
+    flat = F.regexp_replace(F.regexp_replace(c, _GLYPHS, ""), f"[{_SPACES}]+", " ")
     return trim_space(F.regexp_replace(F.regexp_replace(flat, r" *\n *", "\n"), r"\n{3,}", "\n\n"))
 
 
