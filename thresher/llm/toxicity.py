@@ -17,6 +17,7 @@ rows score alike.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -33,8 +34,8 @@ OUT = ["score", "predicted"]
 
 @dataclass(frozen=True)
 class PuConfig:
-    positives: int = 3000
-    unlabelled: int = 6000
+    positives: int = 2000
+    unlabelled: int = 4000
     features: int = 2048
     least_rows: int = 5
     prior: float | None = None
@@ -63,6 +64,20 @@ def present(text: str) -> set[str]:
     return out
 
 
+_SLOTS = 1 << 20
+
+
+def _slots(marks: list[str]) -> np.ndarray:
+    return np.fromiter((zlib.crc32(m.encode("utf-8", "replace")) for m in marks), np.int64, len(marks)) % _SLOTS
+
+
+def _slot_counts(rows: list[str]) -> np.ndarray:
+    out = np.zeros(_SLOTS, np.int64)
+    for t in rows:
+        out[np.unique(_slots(list(present(t))))] += 1
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", config: PuConfig = PuConfig()) -> PuModel:
     """``docs``: the rows that may be learnt from; ``labels``: (id, label) rows of the same kind."""
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__i")).agg(F.max(label_col).alias("y"))
@@ -74,27 +89,33 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     p_rows = docs.where(F.col(text_col).isNotNull()).join(toxic.where(pick(config.positives / max(1, facts["p"] or 0))), id_col, "left_semi").select(text_col).limit(2 * config.positives).collect()
     u_rows = docs.where(F.col(text_col).isNotNull() & pick(config.unlabelled / max(1, n))).select(text_col).limit(2 * config.unlabelled).collect()
     # A text that many rows repeat counts once in either sample.
-    p = [present(t) for t in sorted({r[0] for r in p_rows})]
-    u = [present(t) for t in sorted({r[0] for r in u_rows})]
+    p, u = (sorted({r[0] for r in rows}) for rows in (p_rows, u_rows))
     if not p or not u:
         return PuModel({}, float(np.log((pi + 1e-6) / (1 - pi + 1e-6))), pi)
-    cp, cu = Counter(w for s in p for w in s), Counter(w for s in u for w in s)
-    z = {}
-    for w in cp.keys() | cu.keys():
-        if cp[w] + cu[w] >= config.least_rows:
-            a, b, both = cp[w] / len(p), cu[w] / len(u), (cp[w] + cu[w] + 1) / (len(p) + len(u) + 2)
-            z[w] = abs(a - b) / np.sqrt(both * (1 - both) * (1 / len(p) + 1 / len(u)))
-    vocab = sorted(sorted(z), key=lambda w: -z[w])[: config.features]
-    at = {w: k for k, w in enumerate(vocab)}
-
-    def matrix(rows: list[set[str]]) -> np.ndarray:
-        x = np.zeros((len(rows), len(vocab)), np.float32)
-        for k, s in enumerate(rows):
-            x[k, [at[w] for w in s & at.keys()]] = 1
+    # Marks are counted in hashed slots, so that the driver never holds those of all sampled texts.
+    cp, cu = _slot_counts(p), _slot_counts(u)
+    a, b, both = cp / len(p), cu / len(u), (cp + cu + 1) / (len(p) + len(u) + 2)
+    z = np.where(cp + cu >= config.least_rows, np.abs(a - b) / np.sqrt(both * (1 - both) * (1 / len(p) + 1 / len(u))), 0)
+    top = np.argsort(-z, kind="stable")[: config.features]
+    top = top[z[top] > 0]
+    column = np.full(_SLOTS, -1)
+    column[top] = np.arange(len(top))
+    names: Counter = Counter()
+
+    def matrix(rows: list[str]) -> np.ndarray:
+        x = np.zeros((len(rows), len(top)), np.float32)
+        for k, t in enumerate(rows):
+            marks = list(present(t))
+            at = column[_slots(marks)]
+            x[k, at[at >= 0]] = 1
+            names.update((int(at[i]), marks[i]) for i in np.flatnonzero(at >= 0))
         return x
 
-    w, b = _nnpu(matrix(p), matrix(u), pi, config)
-    return PuModel({v: float(w[k]) for v, k in at.items() if abs(w[k]) > 1e-4}, float(b), pi)
+    w, bias = _nnpu(matrix(p), matrix(u), pi, config)
+    own: dict[int, str] = {}  # the commonest mark of each slot
+    for (k, mark), _ in sorted(names.items(), key=lambda x: (-x[1], x[0])):
+        own.setdefault(k, mark)
+    return PuModel({mark: float(w[k]) for k, mark in own.items() if abs(w[k]) > 1e-4}, float(bias), pi)
 
 
 def _nnpu(xp: np.ndarray, xu: np.ndarray, pi: float, c: PuConfig) -> tuple[np.ndarray, float]:
