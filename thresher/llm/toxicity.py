@@ -42,7 +42,7 @@ class PuConfig:
     rounds: int = 250
     rate: float = 0.05
     decay: float = 2e-3
-    beta: float = 0.0
+    beta: float = 0.05  # how far sampling noise may take the bracket below zero
     seed: int = 5
 
 
