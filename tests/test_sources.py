@@ -78,7 +78,7 @@ def test_stream(spark, tmp_path):
 
 def test_settings(tmp_path, monkeypatch):
     f = tmp_path / "s.json"
-    f.write_text('{"webtools": {"search": {"providers": {"brave": {"api_key": "secret"}}}, "fetch": {"max_tokens": 9}}}')
+    f.write_text('{"thresher": {"search": {"providers": {"brave": {"api_key": "secret"}}}, "fetch": {"max_tokens": 9}}}')
     s, warn = readers.load_settings(str(f))
     assert s.max_tokens == 9 and warn is None
     assert "secret" not in repr(readers.provider_for("brave", s))

@@ -20,7 +20,7 @@ PROTOCOLS = ["2024-11-05", "2025-03-26", "2025-06-18"]
 PROVIDERS = {"duckduckgo": "duckduckgo", "ddg": "duckduckgo", "brave": "brave", "tavily": "tavily", "searxng": "searxng", "searx": "searxng"}
 NOTES = {
     "empty": "the page parsed but contains no text",
-    "needs_js": "no text content: the page renders its body with JavaScript, which webtools does not execute",
+    "needs_js": "no text content: the page renders its body with JavaScript, which is not executed here",
     "too_complex": "the document is too deeply nested to parse safely and was refused",
 }
 MAX_DEPTH = 10_000

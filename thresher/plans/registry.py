@@ -193,7 +193,7 @@ def content_status(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", W.content_status(F.lit("html"), F.expr(_CONTENT), F.expr(_SHELL), F.lit(True)).alias("status"))
 
 
-@query("SELECT k, s AS status, s <> 'ok' AS is_failure, CASE s WHEN 'empty' THEN 'the page parsed but contains no text' WHEN 'needs_js' THEN 'no text content: the page renders its body with JavaScript, which webtools does not execute' WHEN 'too_complex' THEN 'the document is too deeply nested to parse safely and was refused' END AS note FROM (SELECT n_nationkey AS k, ['ok', 'empty', 'needs_js', 'too_complex'][n_nationkey % 4 + 1] AS s FROM nation)")
+@query("SELECT k, s AS status, s <> 'ok' AS is_failure, CASE s WHEN 'empty' THEN 'the page parsed but contains no text' WHEN 'needs_js' THEN 'no text content: the page renders its body with JavaScript, which is not executed here' WHEN 'too_complex' THEN 'the document is too deeply nested to parse safely and was refused' END AS note FROM (SELECT n_nationkey AS k, ['ok', 'empty', 'needs_js', 'too_complex'][n_nationkey % 4 + 1] AS s FROM nation)")
 def status_flags(spark, sf_dir):
     s = F.element_at(F.array(*[F.lit(x) for x in ("ok", "empty", "needs_js", "too_complex")]), (F.col("n_nationkey") % 4 + 1).cast("int"))
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), s.alias("status")).select("k", "status", (F.col("status") != "ok").alias("is_failure"), W.status_note(F.col("status")).alias("note"))

@@ -196,10 +196,10 @@ class Settings:
 
 def load_settings(path: str | None = None) -> tuple[Settings, str | None]:
     """Settings and a warning that names a place in the file but never its contents."""
-    path = path or os.environ.get("HOOCODE_CONFIG") or os.path.expanduser("~/.hoocode/settings.json")
+    path = path or os.environ.get("THRESHER_CONFIG") or os.path.expanduser("~/.thresher/settings.json")
     try:
         with open(path, encoding="utf-8") as f:
-            tree = json.load(f).get("webtools", {})
+            tree = json.load(f).get("thresher", {})
     except FileNotFoundError:
         return Settings(), None
     except json.JSONDecodeError as e:
