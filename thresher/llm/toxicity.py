@@ -42,7 +42,7 @@ class PuConfig:
     rounds: int = 250
     rate: float = 0.05
     decay: float = 2e-3
-    beta: float = 0.05  # how far sampling noise may take the bracket below zero
+    beta: float = 0.0
     seed: int = 5
 
 
@@ -119,9 +119,13 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
 
 
 def _nnpu(xp: np.ndarray, xu: np.ndarray, pi: float, c: PuConfig) -> tuple[np.ndarray, float]:
-    """Adam on the non-negative risk with the logistic loss."""
+    """Adam on the non-negative risk with the logistic loss; the mean of the later half of its steps.
+
+    Turned-round steps keep the whole-sample iterate swinging about the bracket's zero, so a last
+    iterate would depend on where in a swing the rounds end.
+    """
     d = xp.shape[1]
-    theta, m, v = (np.zeros(d + 1, np.float32) for _ in range(3))
+    theta, m, v, total = (np.zeros(d + 1, np.float32) for _ in range(4))
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     theta[-1] = np.log((pi + 1e-6) / (1 - pi + 1e-6))
     for t in range(1, c.rounds + 1):
@@ -135,6 +139,9 @@ def _nnpu(xp: np.ndarray, xu: np.ndarray, pi: float, c: PuConfig) -> tuple[np.nd
         g[:-1] += c.decay * theta[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta -= np.float32(c.rate) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        if t > c.rounds // 2:
+            total += theta
+    theta = total / max(1, c.rounds - c.rounds // 2)
     return theta[:-1], float(theta[-1])
 
 
