@@ -37,6 +37,7 @@ class MixConfig:
     blocks: int = 1024  # a source, at most
     block_rows: int = 64
     max_sources: int = 200_000
+    broadcast_rows: int = 200_000  # picks up to so many are broadcast; beyond that, a shuffled join
     seed: int = 7
 
 
@@ -122,28 +123,33 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
                     edges.append((x, int(turn[whole]), p, rest))
                 break
             todo, p = todo - int(ends[-1]), p + 1
-    quota = np.array([sum(1 for d in drawn if d[0] == x) for x in names] or [0], np.int64)
-    owed = split(quota, config.shards, rng)
-    shard_of, at = {}, {}
     by_source: dict = {x: [] for x in names}
     for d in drawn:
         by_source[d[0]].append(d)
+    quota = np.array([len(by_source[x]) for x in names] or [0], np.int64)
+    owed = split(quota, config.shards, rng)
+    shard_of = {}
     for k, x in enumerate(names):
         shard_of.update(zip(by_source[x], np.repeat(np.arange(config.shards), owed[:, k]).tolist(), strict=True))
-    part = {e[:3]: e[3] for e in edges}
-    table = [(k, x, int(sizes[x]), float(goal[x]), len(words[x])) for k, x in enumerate(names)]
-    sources = spark.createDataFrame(table, "k int, __src string, source_size long, target double, __n int")
-    number = {x: k for k, x in enumerate(names)}
-    picks = spark.createDataFrame([(number[x], b, p, int(shard_of[x, b, p]), part.get((x, b, p))) for x, b, p in drawn], "k int, b int, pass int, shard int, rest long")
-    base = slim.join(sources, slim["__src"].eqNullSafe(sources["__src"]), "left").select("id", slim["__src"], "__size", "__h", "source_size", "target", "k", F.pmod("__b", "__n").cast("int").alias("b"))
-    passes = picks.groupBy("k", "b").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("picks"), F.max(F.when(F.col("rest").isNotNull(), F.col("pass"))).alias("cut"), F.max("rest").alias("rest"))
-    placed = base.join(passes, ["k", "b"], "left")
+    part = {x: (b, p, rest) for x, b, p, rest in edges}  # one a source at most
+    table = [(k, x, int(sizes[x]), float(goal[x]), len(words[x]), *part.get(x, (None, None, None))) for k, x in enumerate(names)]
+    sources = spark.createDataFrame(table, "k int, __src string, source_size long, target double, __n int, part int, cut int, rest long")
+    taken: dict = {}
+    for k, x in enumerate(names):
+        for _, b, p in by_source[x]:
+            taken.setdefault((k, b), []).append((p, int(shard_of[x, b, p])))
+    picks = spark.createDataFrame([(*kb, sorted(v)) for kb, v in taken.items()], "k int, b int, picks array<struct<pass:int,shard:int>>")
+    if len(taken) <= config.broadcast_rows:
+        picks = F.broadcast(picks)
+    # At most ``max_sources`` rows, as checked above: joined without dealing a hot source to one task.
+    base = slim.join(F.broadcast(sources), slim["__src"].eqNullSafe(sources["__src"]), "left").select("id", slim["__src"], "__size", "__h", "source_size", "target", "k", F.pmod("__b", "__n").cast("int").alias("b"), "part", "cut", "rest")
     # Only part blocks need an order within: one block of each source.
-    edge = placed.where("cut IS NOT NULL")
+    edge = base.where("b = part")
     run = F.sum("__size").over(Window.partitionBy("k", "b").orderBy("__h", "id", "__size").rowsBetween(Window.unboundedPreceding, 0))
     edge = edge.withColumn("__in", run <= F.col("rest"))
-    both = placed.where("cut IS NULL").withColumn("__in", F.lit(True)).unionByName(edge)
-    kept = F.filter("picks", lambda x: (F.col("__size") > 0) & (F.col("__in") | F.col("cut").isNull() | (x["pass"] != F.col("cut"))))
+    placed = base.where("part IS NULL OR b <> part").withColumn("__in", F.lit(True)).unionByName(edge)
+    both = placed.join(picks, ["k", "b"], "left")
+    kept = F.filter("picks", lambda x: (F.col("__size") > 0) & (F.col("__in") | (x["pass"] != F.col("cut"))))
     draws = F.transform(F.coalesce(kept, F.array().cast("array<struct<pass:int,shard:int>>")), lambda x: F.struct(x["pass"].alias("pass"), x["shard"].alias("shard"), F.xxhash64(F.lit(config.seed + 2), x["pass"], F.col("__h")).alias("place")))
     return both.select(F.col("id").alias(id_col), F.col("__src").alias(source_col), F.col("__size").alias("size"), "source_size", "target", draws.alias("draws"), F.col("__h").alias("__key"))
 
