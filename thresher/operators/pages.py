@@ -131,6 +131,48 @@ def convert_pages(df: DataFrame, body: str = "html", url: str = "url", content_t
     return base.select(*keep, *[v.alias(k) for k, v in out.items()])
 
 
+def media_of(content_type: str | None, body: str) -> str:
+    """``media_type`` of one body."""
+    essence = dom.trim((content_type or "").partition(";")[0]).lower()
+    if essence:
+        return "html" if "html" in essence else "json" if "json" in essence else "text" if essence.startswith("text/") else essence
+    first = dom.trim(body)[:1]
+    if first in ("{", "["):
+        try:
+            json.loads(body)
+            return "json"
+        except ValueError:
+            return "text"
+    return "html" if first == "<" else "text"
+
+
+def convert_row(body: str, url: str, content_type: str | None = None, output: str = "text", max_tokens: int | None = None) -> dict:
+    """One page by the rules of ``convert_pages``, for callers with a request at a time."""
+    kind, media = output_name(output), media_of(content_type, body)
+    row = {"title": "", "final_url": url, "content": "", "content_type": kind, "media": media, "token_estimate": 0, "status": "ok", "references": [], "metadata": {}}
+    if media == "html":
+        deep = dom.depth(body)
+        if deep > W.MAX_DEPTH:
+            row |= {"content": f"[document refused: nesting depth {deep} exceeds the limit of {W.MAX_DEPTH} — parsing it would take minutes]", "status": "too_complex"}
+        else:
+            got = convert_one(body, url, kind, max_tokens)
+            blank = not dom.trim(got["content"]) or (kind == "structured" and got["blocks"] == [])
+            row |= {k: got[k] for k in ("title", "content", "references")} | {"metadata": {k: v for k, v in got["metadata"].items() if v is not None}}
+            row["status"] = ("needs_js" if "<script" in body.lower() else "empty") if blank else "ok"
+    else:
+        if media == "json":
+            text, row["content_type"] = _pretty(pa.array([body])).to_pylist()[0], "structured"
+        elif media == "text":
+            text, row["content_type"] = dom.trim(body), "text"
+        else:
+            text = f"[non-text content: {content_type}, {len(body.encode('utf-8', 'replace'))} bytes — not rendered]"
+        if max_tokens is not None and media in ("json", "text"):
+            text = dom.truncate(text, max_tokens)
+        row |= {"content": text, "status": "ok" if dom.trim(text) else "empty"}
+    row["token_estimate"] = dom.estimate(row["content"])
+    return row
+
+
 def render(title: Column, url: Column, content: Column) -> Column:
     """Title and url lines where not empty, a blank line if there was either, content."""
     head = F.concat_ws("\n", F.when(title != "", title), F.when(url != "", url))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+from urllib.parse import unquote_plus
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,22 +19,24 @@ _PARTS = pa.struct([("parts", pa.list_(pa.struct([("link", pa.bool_()), ("text",
 HIT = "struct<title:string,snippet:string,url:string,ref_index:bigint>"
 
 
+def parts_of(html: str | None) -> tuple[list[dict], bool]:
+    """Links and snippets of one result page in document order, and whether it is one at all."""
+    parts, page = [], False
+    for x in dom.walk(dom.parse(html or "")):
+        if not isinstance(x, dom.Node) or "class" not in x.attrs:
+            continue
+        names = set(x.attrs["class"].split())
+        page = page or bool(names & _PAGE)
+        if (x.name == "a" and names & _LINK) or names & _SNIPPET:
+            parts.append({"link": x.name == "a", "text": dom.compress(dom.all_text(x)), "href": x.attrs.get("href", "")})
+    return parts, page
+
+
 def page_parts(html: Column) -> Column:
     """Links and snippets of a result page in document order, and whether it is a result page at all."""
 
     def column(html: pa.Array) -> pa.Array:
-        out = []
-        for h in html.to_pylist():
-            parts, page = [], False
-            for x in dom.walk(dom.parse(h or "")):
-                if not isinstance(x, dom.Node) or "class" not in x.attrs:
-                    continue
-                names = set(x.attrs["class"].split())
-                page = page or bool(names & _PAGE)
-                if (x.name == "a" and names & _LINK) or names & _SNIPPET:
-                    parts.append({"link": x.name == "a", "text": dom.compress(dom.all_text(x)), "href": x.attrs.get("href", "")})
-            out.append({"parts": parts, "is_page": page})
-        return pa.array(out, _PARTS)
+        return pa.array([dict(zip(("parts", "is_page"), parts_of(h), strict=True)) for h in html.to_pylist()], _PARTS)
 
     return F.arrow_udf(column, "struct<parts:array<struct<link:boolean,text:string,href:string>>,is_page:boolean>").asNondeterministic()(html)
 
@@ -101,3 +107,78 @@ def fallback(primary: DataFrame, other: DataFrame, key: str = "query") -> DataFr
     use = (F.coalesce(F.col("p.status"), F.lit("error")).isin("blocked", "error")) & F.col("__status").isNotNull() & (F.col("__status") != "error")
     pick = lambda c: F.when(use, F.col(f"__{c}")).otherwise(F.col(f"p.{c}")).alias(c)
     return p.join(o, F.col(f"p.{key}") == F.col("__k"), "left").select(F.col(f"p.{key}").alias(key), *[pick(c) for c in ("status", "provider", "payload")])
+
+
+# ------------------------------------------------------------ one reply at a time (requests, network replies)
+
+
+def unwrap(href: str) -> str:
+    """The target of a result link: the redirect's parameter, else the link itself."""
+    h = dom.trim(href)
+    if h.startswith("//"):
+        h = f"https:{h}"
+    target = re.search(r"[?&]uddg=([^&#]*)", h)
+    return unquote_plus(target[1]) if target and target[1] else h
+
+
+def _hits(found: list[dict], most: int) -> list[dict]:
+    return [{**h, "ref_index": k} for k, h in enumerate(found[: max(0, most)], 1)]
+
+
+def parse_reply(body: str | None, provider: str, most: int) -> tuple[list[dict], str]:
+    """Hits and status of one provider reply; the rules are those of ``parse_pages`` and ``hits_json``."""
+    if provider == "duckduckgo":
+        parts, is_page = parts_of(body)
+        found: list[dict] = []
+        for x in parts:
+            if x["link"]:
+                url = unwrap(x["href"])
+                if x["text"] or url:
+                    found.append({"title": x["text"], "snippet": "", "url": url})
+            elif found and not found[-1]["snippet"]:
+                found[-1]["snippet"] = x["text"]
+        low, hits = (body or "").lower(), _hits(found, most)
+        if hits:
+            return hits, "ok"
+        return hits, "empty" if is_page and not any(m in low for m in W.CHALLENGE) else "blocked"
+    try:
+        at = json.loads(body or "")
+    except ValueError:
+        return [], "blocked"
+    path, snippets = LAYOUT[provider]
+    for key in path.split(".")[1:]:
+        at = at.get(key) if isinstance(at, dict) else None
+    text = lambda x, k: x[k] if isinstance(x.get(k), str) else None
+    rows = [x for x in at if isinstance(x, dict) and text(x, "url")] if isinstance(at, list) else []
+    first = lambda x: next((v for v in (text(x, k) for k in snippets) if v is not None), "")
+    hits = _hits([{"title": dom.compress(text(x, "title") or ""), "snippet": dom.compress(first(x)), "url": x["url"]} for x in rows], most)
+    return hits, "ok" if hits else "empty"
+
+
+def parsed(body: Column, provider: str, most: int) -> Column:
+    """struct(results, status) of replies, in one pass; null where there is no reply."""
+    hit = pa.struct([("title", pa.string()), ("snippet", pa.string()), ("url", pa.string()), ("ref_index", pa.int64())])
+    kind = pa.struct([("results", pa.list_(hit)), ("status", pa.string())])
+
+    def column(body: pa.Array) -> pa.Array:
+        return pa.array([None if b is None else dict(zip(("results", "status"), parse_reply(b, provider, most), strict=True)) for b in body.to_pylist()], kind)
+
+    return F.arrow_udf(column, f"struct<results:array<{HIT}>,status:string>").asNondeterministic()(body)
+
+
+def body_row(results: list[dict]) -> str:
+    return "\n\n".join(f"{r['title']} [{r['ref_index']}]" + (f"\n{r['snippet']}" if r["snippet"] else "") for r in results)
+
+
+def output_row(query: str, results: list[dict], status: str, provider: str) -> dict:
+    """The search row of one query, fields in the order of ``output``."""
+    refs = [{"index": r["ref_index"], "url": r["url"]} for r in results]
+    whole = f"{body_row(results)}\n\n{dom.ref_block(refs)}"
+    return {"query": query, "results": results, "references": refs, "token_estimate": dom.estimate(whole), "result_count": len(results), "status": status, "provider": provider}
+
+
+def render_row(row: dict) -> str:
+    """``render`` of one search row."""
+    q, p = row["query"], row["provider"]
+    notes = {"empty": f"No results for `{q}` (provider: {p}).", "blocked": f"Search was blocked or returned an unrecognized page (provider: {p}). This is not the same as having no results — the query was not answered."}
+    return "\n\n".join(x for x in (body_row(row["results"]), dom.ref_block(row["references"]), notes.get(row["status"])) if x)

@@ -502,3 +502,13 @@ def rpc_route(spark, sf_dir):
 def rpc_negotiate(spark, sf_dir):
     r = readers.request_lines(_lines(spark, sf_dir)).where("method = 'initialize'")
     return r.select("id", W.rpc_protocol(F.get_json_object("params", "$.protocolVersion")).alias("version"))
+
+
+# Calls that need no network: refused addresses and unknown tools.
+_CALL = """concat('{"id":', n_nationkey, ',"method":"tools/call","params":{"name":"', CASE WHEN n_nationkey % 5 = 0 THEN 'nope' ELSE 'fetch' END, '","arguments":{"url":"http://10.0.0.', n_nationkey, '/"}}}')"""
+
+
+@query("""SELECT n_nationkey::VARCHAR AS id, '{"jsonrpc":"2.0","id":' || n_nationkey || ',"result":{"content": [{"type": "text", "text": "' || CASE WHEN n_nationkey % 5 = 0 THEN 'unknown tool: nope' ELSE 'blocked URL: host IP 10.0.0.' || n_nationkey || ' is not public' END || '"}], "isError": true}}' AS line FROM nation""")
+def rpc_call(spark, sf_dir):
+    calls = table(spark, sf_dir, "nation").select(F.expr(_CALL).alias("value"))
+    return rpc.reply(readers.request_lines(calls), rpc.Service()).select("id", "line")

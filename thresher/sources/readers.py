@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import web as W
-from ..operators.pages import blocked_ip
+from ..operators.pages import blocked_ip, convert_pages
+from .transport import USER_AGENT, Tls, opener, transient, truth
 
 #: Python codecs that decode as the web platform does.
 CODECS = {"Shift_JIS": "cp932", "GBK": "gb18030", "gb18030": "gb18030", "Big5": "big5hkscs", "EUC-KR": "cp949", "EUC-JP": "euc_jp", "ISO-2022-JP": "iso2022_jp", "UTF-16LE": "utf_16_le", "UTF-16BE": "utf_16_be", "macintosh": "mac_roman", "windows-874": "cp874", "IBM866": "cp866", "KOI8-R": "koi8_r", "KOI8-U": "koi8_u"}
@@ -36,6 +38,22 @@ def decode_bytes(raw: bytes, label: str | None) -> tuple[str, str | None]:
     return raw.decode(codec, "replace"), None
 
 
+def header_charset(header: str | None) -> str | None:
+    """``charset_header`` of one header."""
+    for part in (header or "").split(";"):
+        m = re.match(r"(?i)\s*charset=(.*)$", part)
+        if m and m[1].replace('"', "").strip(" "):
+            return m[1].replace('"', "").strip(" ")
+    return None
+
+
+def sniffed_charset(raw: bytes) -> str | None:
+    """``charset_meta`` of one body."""
+    _, found, rest = raw[:2048].decode("utf-8", "replace").lower().partition("charset")
+    m = re.match(r"\s*=\s*[\"']*([a-z0-9_-]+)", rest) if found else None
+    return m[1] if m else None
+
+
 def charset_decode(raw: Column, label: Column) -> Column:
     """struct(text, undecodable)."""
     kind = pa.struct([("text", pa.string()), ("undecodable", pa.string())])
@@ -66,8 +84,9 @@ def request_lines(lines: DataFrame, col: str = "value", most: int = 8 * 1024 * 1
 # ------------------------------------------------------------ fetch
 
 
-def guard(url: str, allow_private: bool = False) -> str | None:
-    """Why a URL may not be fetched, or None. Names are resolved; every address must be public."""
+def vet(url: str, allow_private: bool = False) -> tuple[str | None, list[str]]:
+    """Why a URL may not be fetched, or None, and the addresses that its name was found to have.
+    Every address must be public; connections go to these, so that a second lookup can't differ."""
     import socket
     from urllib.parse import urlsplit
 
@@ -75,29 +94,35 @@ def guard(url: str, allow_private: bool = False) -> str | None:
         u = urlsplit(url)
         port = u.port
     except ValueError as e:
-        return f"blocked URL: {e}"
+        return f"blocked URL: {e}", []
     if u.scheme.lower() not in ("http", "https"):
-        return f"blocked URL: scheme `{u.scheme}` not allowed"
+        return f"blocked URL: scheme `{u.scheme}` not allowed", []
     if port in W.BLOCKED_PORTS:
-        return f"blocked URL: port {port} is not an HTTP service and is not fetchable"
+        return f"blocked URL: port {port} is not an HTTP service and is not fetchable", []
     if allow_private:
-        return None
+        return None, []
     host = (u.hostname or "").lower()
     if not host:
-        return f"blocked URL: no host in {url}"
+        return f"blocked URL: no host in {url}", []
     literal = blocked_ip(host)
     if literal is not None:
-        return f"blocked URL: host IP {host} is not public" if literal else None
+        return (f"blocked URL: host IP {host} is not public" if literal else None), []
     if host == "localhost" or host.endswith(".localhost"):
-        return f"blocked URL: host `{host}` is local"
+        return f"blocked URL: host `{host}` is local", []
     try:
         found = {a[4][0] for a in socket.getaddrinfo(host, port or (443 if u.scheme == "https" else 80), type=socket.SOCK_STREAM)}
     except OSError as e:
-        return f"blocked URL: cannot resolve `{host}`: {e}"
-    return next((f"blocked URL: `{host}` resolves to {a}, which is not public" for a in sorted(found) if blocked_ip(a.split("%")[0])), None)
+        return f"blocked URL: cannot resolve `{host}`: {e}", []
+    why = next((f"blocked URL: `{host}` resolves to {a}, which is not public" for a in sorted(found) if blocked_ip(a.split("%")[0])), None)
+    return why, sorted(found)
 
 
-def fetch_one(url: str, timeout: float = 10, allow_private: bool = False, redirects: int = 5, tries: int = 3) -> dict:
+def guard(url: str, allow_private: bool = False) -> str | None:
+    """Why a URL may not be fetched, or None."""
+    return vet(url, allow_private)[0]
+
+
+def fetch_one(url: str, timeout: float = 10, allow_private: bool = False, redirects: int = 5, tries: int = 3, tls: Tls = Tls()) -> dict:
     """One page as a row; errors are a column, not an exception. Redirects are followed by hand
     so that each hop passes the guard; transient failures are tried again within the deadline."""
     import time
@@ -105,20 +130,21 @@ def fetch_one(url: str, timeout: float = 10, allow_private: bool = False, redire
     import urllib.request
     from urllib.parse import urljoin
 
-    class Stay(urllib.request.HTTPRedirectHandler):
-        def redirect_request(self, *_, **__):
-            return None
-
-    opener, until, at = urllib.request.build_opener(Stay), time.monotonic() + 3 * timeout, url
+    until, at = time.monotonic() + 3 * timeout, url
     fail = lambda e: {"url": url, "final_url": at, "content_type": None, "body": None, "error": e}
     for _ in range(redirects + 1):
-        if why := guard(at, allow_private):
+        why, found = vet(at, allow_private)
+        if why:
             return fail(why)
+        try:
+            client = opener(tls, found)
+        except OSError as e:
+            return fail(str(e))
         for k in range(tries):
             if time.monotonic() > until:
                 return fail("total time budget exceeded")
             try:
-                with opener.open(urllib.request.Request(at, headers={"Accept": "text/html,*/*;q=0.8", "Accept-Language": "en"}), timeout=timeout) as r:
+                with client.open(urllib.request.Request(at, headers={"User-Agent": USER_AGENT, "Accept": "text/html,application/xhtml+xml,*/*;q=0.8", "Accept-Language": "en-US,en;q=0.9"}), timeout=timeout) as r:
                     raw = r.read(W.BODY_CAP)
                     return {"url": url, "final_url": at, "content_type": r.headers.get("Content-Type"), "body": raw, "error": None}
             except urllib.error.HTTPError as e:
@@ -128,7 +154,7 @@ def fetch_one(url: str, timeout: float = 10, allow_private: bool = False, redire
                         return fail(f"redirect {e.code} without a location")
                     at = urljoin(at, to)
                     break
-                if not (e.code == 429 or e.code >= 500) or k == tries - 1:
+                if not transient(e.code) or k == tries - 1:
                     return fail(f"HTTP {e.code}")
             except OSError as e:
                 if k == tries - 1:
@@ -146,14 +172,15 @@ class FetchReader(DataSourceReader):
     def __init__(self, options: dict):
         self.urls = json.loads(options["urls"])
         self.timeout, self.size = float(options.get("timeout_secs", 10)), int(options.get("batch", 16))
-        self.private = options.get("allow_private", "false").lower() in ("1", "true")
+        self.private = truth(options.get("allow_private"))
+        self.tls = Tls.of(options)
 
     def partitions(self) -> list[InputPartition]:
         return [_Urls(self.urls[k : k + self.size]) for k in range(0, len(self.urls), self.size)]
 
     def read(self, partition):
         for u in partition.urls:
-            r = fetch_one(u, self.timeout, self.private)
+            r = fetch_one(u, self.timeout, self.private, tls=self.tls)
             yield r["url"], r["final_url"], r["content_type"], r["body"], r["error"]
 
 
@@ -171,6 +198,17 @@ class FetchSource(DataSource):
         return FetchReader(self.options)
 
 
+def fetch_pages(spark: SparkSession, urls: list[str], output: str = "text", max_tokens: int | None = None, **options: str) -> DataFrame:
+    """Fetched and converted pages: source, error, undecodable and the columns of ``convert_pages``.
+    The label of the header outranks the one in the bytes. Options: those of the fetch source."""
+    spark.dataSource.register(FetchSource)
+    raw = spark.read.format("fetch").options(urls=json.dumps(urls), **options).load()
+    label = F.coalesce(W.charset_header(F.col("content_type")), W.charset_meta(F.col("body")))
+    read = raw.withColumn("__d", charset_decode(F.col("body"), label))
+    read = read.select(F.col("url").alias("source"), "error", F.col("final_url").alias("__at"), F.col("content_type").alias("__type"), F.col("__d.text").alias("__text"), F.col("__d.undecodable").alias("undecodable"))
+    return convert_pages(read, "__text", "__at", "__type", output, max_tokens).drop("__at", "__type", "__text")
+
+
 # ------------------------------------------------------------ settings
 
 
@@ -208,15 +246,42 @@ def load_settings(path: str | None = None) -> tuple[Settings, str | None]:
     return Settings(f_.get("timeout_secs", 10), f_.get("max_tokens"), f_.get("ca_certs", []), s.get("provider"), s.get("fallback"), s.get("providers", {})), None
 
 
+def _env(name: str) -> str | None:
+    value = os.environ.get(name, "")
+    return value if value.strip() else None
+
+
 def provider_for(name: str, settings: Settings) -> Provider:
-    """A usable provider; raises if its key or address is missing."""
+    """A usable provider; raises if its key or address is missing. The environment outranks the file."""
     known = W.PROVIDERS.get(name.strip().lower())
     if known is None:
-        raise ValueError(f"unknown provider `{name}`")
-    own = settings.providers.get(known, {})
-    key = os.environ.get(f"{known.upper()}_API_KEY") or own.get("api_key")
-    if known in ("brave", "tavily") and not key:
-        raise ValueError(f"provider `{known}` needs an API key")
-    if known == "searxng" and not own.get("base_url"):
+        raise ValueError(f"unknown search provider `{name}`")
+    own = settings.providers.get(known) or {}
+    if known == "duckduckgo":
+        return Provider()
+    key = _env(f"THRESHER_{known.upper()}_API_KEY") or (_env(f"{known.upper()}_API_KEY") if known != "searxng" else None) or own.get("api_key")
+    if known in ("brave", "tavily"):
+        if not key:
+            raise ValueError(f"provider `{known}` needs an API key")
+        return Provider(known, key)
+    base = _env("THRESHER_SEARXNG_URL") or own.get("base_url")
+    if not base:
         raise ValueError("provider `searxng` needs a base_url")
-    return Provider(known, key, own.get("base_url"))
+    return Provider(known, key, base)
+
+
+def primary_provider(settings: Settings, flag: str | None = None) -> Provider:
+    """The provider by flag, environment, settings, or the one without a key; an unusable one raises."""
+    return provider_for(flag or _env("THRESHER_SEARCH_PROVIDER") or settings.provider or "duckduckgo", settings)
+
+
+def fallback_provider(settings: Settings, primary: Provider) -> tuple[Provider | None, str | None]:
+    """The fallback and a warning: an unusable one is left out, and so are ``none``, unknown names and the primary."""
+    asked = _env("THRESHER_SEARCH_FALLBACK") or settings.fallback or "none"
+    name = W.PROVIDERS.get(asked.strip().lower())
+    if name is None or name == primary.name:
+        return None, None
+    try:
+        return provider_for(name, settings), None
+    except ValueError as e:
+        return None, f"ignoring search fallback: {e}"
