@@ -70,10 +70,10 @@ def test_files(spark, tmp_path):
 def test_stream(spark, tmp_path):
     src, out = tmp_path / "in", tmp_path / "out"
     src.mkdir()
-    (src / "x.txt").write_text('{"id":1,"method":"ping"}\n\n{bad\n{"method":"n"}\n{"id":"a","method":"zzz"}\n')
+    (src / "x.txt").write_text('{"id":1,"method":"ping"}\n\n{bad\n{"method":"n"}\n{"id":"a","method":"zzz"}\n{"id":null,"method":"ping"}\n[1]\n7\n')
     rpc.serve(spark, str(src), str(out), str(tmp_path / "ck")).awaitTermination()
     lines = sorted(json.loads(r["value"])["id"].__str__() for r in spark.read.text(f"{out}/*").collect())
-    assert lines == ["1", "a"]
+    assert lines == ["1", "None", "a"]
 
 
 def test_settings(tmp_path, monkeypatch):

@@ -76,8 +76,9 @@ def request_lines(lines: DataFrame, col: str = "value", most: int = 8 * 1024 * 1
     text = F.col(col)
     parsed = lines.where((F.trim(text) != "") & (F.octet_length(text) <= most)).withColumn("__v", F.try_parse_json(text))
     ident = F.get_json_object(text, "$.id")
-    rows = parsed.where(F.col("__v").isNotNull() & ident.isNotNull())
-    literal = F.to_json(F.try_variant_get("__v", "$.id", "variant"))
+    given = F.try_variant_get("__v", "$.id", "variant")  # an id of JSON null is an id
+    rows = parsed.where(F.col("__v").isNotNull() & given.isNotNull())
+    literal = F.to_json(given)
     return rows.select(ident.alias("id"), literal.alias("id_json"), F.coalesce(F.get_json_object(text, "$.method"), F.lit("")).alias("method"), F.get_json_object(text, "$.params").alias("params"))
 
 
