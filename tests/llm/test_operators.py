@@ -63,6 +63,20 @@ def test_language_rejects_foreign_script(spark, docs):
     assert langid.predict(odd, model).first()["lang_rejected"]
 
 
+def test_language_rejects_unlearned_latin_script(spark):
+    r = random.Random(5)
+    make = lambda letters, n: " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 7))) for _ in range(n))
+    known = [("aa", "etaoinshr"), ("bb", "eaisulvqr")]
+    sizes = [1] * 40 + [60] * 60 + [1500] * 5  # short texts have low cosines; the longest class has too few texts
+    learn = [(k, make(letters, n), lang, None, 0) for lang, letters in known for k, n in enumerate(sizes)]
+    model = langid.fit(spark.createDataFrame(learn, DOCS))
+    own = [(k, make(letters, 60), lang, None, 0) for lang, letters in known for k in range(30)]
+    other = [(k, make("etaocdfgjk", 60), None, None, 0) for k in range(30)]
+    rejected = lambda x: sum(r["lang_rejected"] for r in langid.predict(spark.createDataFrame(x, DOCS), model).collect())
+    assert rejected(other) == 30 and rejected(own) == 0 and rejected(learn) == 0
+    assert langid._floors([(3, 0.2)] * 20 + [(6, 0.8)] * 20 + [(7, 0.1)] * 3, model.config) == pytest.approx([0.06] * 5 + [0.24] * 3)
+
+
 # 2
 
 

@@ -147,19 +147,15 @@ def _spherical_kmeans(x: np.ndarray, config: LangIdConfig) -> tuple[np.ndarray,
 
 
 def _floors(seen: list[tuple[int, float]], config: LangIdConfig) -> list[float]:
-    """Least accepted cosine by length class: a share of the low tail of the training texts
-    of that class or shorter; never rising towards shorter texts."""
-    top = max(k for k, _ in seen) + 1
-    raw = []
-    for k in range(top):
-        near = [c for j, c in seen if j == k]
-        raw.append(config.slack * float(np.quantile(near, 0.01)) if len(near) >= 20 else None)
-    known = [x for x in raw if x is not None] or [config.slack * min(c for _, c in seen)]
-    low, out = min(known), []
-    for x in reversed(raw):
-        known_here = x if x is not None else (out[-1] if out else low)
-        out.append(min(known_here, out[-1]) if out else known_here)
-    return out[::-1]
+    """Least accepted cosine by length class: a share of the low tail of the training texts of that
+    class. A class with few texts takes the floor of the nearest class that has enough, the shorter of two."""
+    by_class: dict[int, list[float]] = {}
+    for k, c in seen:
+        by_class.setdefault(k, []).append(c)
+    known = {k: config.slack * float(np.quantile(v, 0.01)) for k, v in by_class.items() if len(v) >= 20}
+    if not known:
+        return [config.slack * min(c for _, c in seen)] * (max(by_class) + 1)
+    return [known[min(known, key=lambda j: (abs(j - k), j))] for k in range(max(by_class) + 1)]
 
 
 def predict(docs: DataFrame, model: LangIdModel, text_col: str = "text") -> DataFrame:
