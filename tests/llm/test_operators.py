@@ -293,6 +293,30 @@ def test_licences(spark, docs):
 # 8
 
 
+def test_leaks_equal_brute_force(spark):
+    r = random.Random(9)
+    common = [f"w{k}" for k in range(30)]
+    items = {k: [r.choice(common) for _ in range(n)] for k, n in enumerate([3, 4, 8, 15, 30, 40, 55])}
+    texts = {}
+    for k, ws in items.items():
+        for every in (2, 3, 4, 5, 6):
+            texts[k, every, "replaced"] = [f"x{i}" if i % every == every - 1 else w for i, w in enumerate(ws)]
+            texts[k, every, "dropped"] = [w for i, w in enumerate(ws) if i % every != every - 1]
+            texts[k, every, "padded"] = [x for i, w in enumerate(ws) for x in ([w, f"x{i}"] if i % every == every - 1 else [w])]
+        texts[k, 1, "padded"] = [x for i, w in enumerate(ws) for x in (w, f"x{i}")][:-1]
+    docs = [(k, " ".join([r.choice(common) for _ in range(40)] + ws + [r.choice(common) for _ in range(40)])) for k, ws in enumerate(texts.values())]
+    c = decontaminate.AlignConfig()
+    number = {w: k for k, w in enumerate(sorted({w for _, t in docs for w in t.split()}))}
+    arr = lambda ws: np.array([number[w] for w in ws])
+    score = {(d, k): decontaminate.align(arr(ws), arr(t.split()), c)[0] for d, t in docs for k, ws in items.items()}
+    want = {x: n for x, n in score.items() if n >= c.least * c.match * len(items[x[1]])}
+    bench = spark.createDataFrame([(k, " ".join(ws)) for k, ws in items.items()], "item_id long, text string")
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {(x["doc_id"], x["item_id"]): x["score"] for x in got} == want
+    at = {x: d for d, x in enumerate(texts)}
+    assert all((at[k, e, "replaced"], k) in want for k in (4, 5, 6) for e in (4, 5, 6)) and (at[4, 3, "replaced"], 4) in want
+
+
 def test_leaks(spark, rows, docs):
     # Corpus words come and go in every passage: items need words of their own to be rare.
     item = lambda k: " ".join(f"{R.choice(EN)}{R.choice('abcdefghij')}{R.choice('klmnop')}{k}" for _ in range(30))

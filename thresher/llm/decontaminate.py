@@ -1,24 +1,29 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-A seed is a word n-gram of a test item that chance would seldom produce in the
-corpus: the product of its words' corpus shares times the corpus size is at
-most ``chance``. Word counts cover all documents and both steps read whole
-texts. (Rarity is not a seed's own count: a leaked passage that a third of the
-documents share would then hide itself.) An item none of whose n-grams is rare
-uses its rarest ones. Documents meet items by a lookup of seeds, a table with
-one row a test n-gram; items are taken in groups of at most ``group_seeds``
-seeds, one pass each, so that what is broadcast stays bounded. Around each hit
-the passage is aligned with the item word by word; pairs whose score reaches
+"""Benchmark decontamination: word pairs as seeds, then Smith-Waterman alignment.
+
+A seed is a near pair: two words of a test item, next to each other or with one
+word between, that stand so in the text. An alignment that reaches ``least`` of
+the item's own score has a least number of near pairs (``kept_pairs``), each at
+its own place in the item. So of an item's places as many of the most common
+may be left out as still leave a share ``need`` of that number; a text in which
+these don't turn up can't reach ``least``, and nothing is lost. Which pairs are
+common is counted within the items, so seeds depend neither on the corpus nor
+on its size, and a passage that many documents share can't hide itself.
+
+Documents meet items by a lookup of seeds; items are taken in groups of at most
+``group_seeds`` words, one pass each over whole texts, so that what is
+broadcast stays bounded. Around the hits, as far as an alignment can reach, the
+passage is aligned with the item word by word; pairs whose score reaches
 ``least`` of the item's own score are returned.
 
-Defined cases: null and wordless texts and items match nothing; items shorter
-than the n-gram are one seed; repeated rows repeat their pairs.
+Defined cases: null and wordless texts and items match nothing; items of one or
+two words are one seed; repeated rows repeat their pairs.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,9 +38,7 @@ _WORD = re.compile(r"\w+")
 
 @dataclass(frozen=True)
 class AlignConfig:
-    n: int = 3
-    chance: float = 0.5
-    seeds_at_least: int = 3
+    need: float = 0.25  # share of the pairs sure to be kept that a text must show; any share finds the same
     match: int = 2
     mismatch: int = -1
     gap: int = -1
@@ -68,38 +71,70 @@ def align_spans(a: np.ndarray, b: np.ndarray, c: AlignConfig) -> tuple[int, int,
     return score, i - x, i, j - y, j
 
 
+def kept_pairs(size: int, c: AlignConfig) -> int:
+    """Least number of near pairs (see the module) in any alignment of an item of ``size`` words that reaches ``least``.
+
+    Between two consecutive matches that are no near pair lie two edits or more. An alignment of m matches has m - 1
+    such steps, and its edits may cost match * (m - least * size) in all, so at most half as many steps are not near."""
+    edit = min(-c.mismatch, -c.gap)
+    near = lambda m: m - 1 - c.match * (m - c.least * size) / (2 * edit)
+    return max(0, math.ceil(min(near(math.ceil(c.least * size)), near(size)) - 1e-9))
+
+
 class Seeds:
     """The seeds of some items and their words; small enough to broadcast."""
 
-    def __init__(self, items: list[tuple], share: dict[str, float], config: AlignConfig):
+    def __init__(self, items: list[tuple], config: AlignConfig):
         self.config = config
         vocab = sorted({w for _, ws in items for w in ws})
         self.number = {w: k + 1 for k, w in enumerate(vocab)}
         self.items = [(i, np.array([self.number[w] for w in ws], np.int64)) for i, ws in items]
         self.base = len(vocab) + 2
-        places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, (_, ws) in enumerate(items):
-            ids, n = self.items[k][1], min(config.n, len(ws))
-            if not n:
+        often = np.bincount(np.concatenate([ids for _, ids in self.items]), minlength=self.base)
+        edit = min(-config.mismatch, -config.gap)
+        self.lengths = sizes = np.array([len(ids) for _, ids in self.items])
+        # Words without a counterpart that an alignment may have at most.
+        self.spare = np.floor(config.match * (1 - config.least) * sizes / edit).astype(np.int64)
+        self.need = np.ones(len(items), np.int64)
+        seeds: list[tuple[int, int, int]] = []
+        for k, (_, ids) in enumerate(self.items):
+            if len(ids) < 3:
+                seeds.append((self._code(len(ids), ids[0], ids[-1]), k, 0))
                 continue
-            odds = [(float(np.prod([share.get(w, 0.0) for w in ws[p : p + n]])), p) for p in range(len(ws) - n + 1)]
-            for _, p in [x for x in odds if x[0] <= config.chance] or sorted(odds)[: config.seeds_at_least]:
-                places[self._code(ids[p : p + n])].append((k, p))
-        self.places = dict(places)
-        self.codes = np.array(sorted(self.places), np.int64)
-        self.short = sorted({min(config.n, len(ws)) for _, ws in items if ws} - {config.n})
-
-    def _code(self, ids) -> int:
-        code = 0
-        for x in ids:
-            code = (code * self.base + int(x)) & 0x7FFFFFFFFFFFFFFF
-        return code
-
-    def _rolling(self, ids: np.ndarray, n: int) -> np.ndarray:
-        code = np.zeros(max(0, len(ids) - n + 1), np.int64)
-        for k in range(n):
-            code = (code * self.base + ids[k : len(ids) - n + 1 + k]) & 0x7FFFFFFFFFFFFFFF
-        return code
+            least = kept_pairs(len(ids), config)
+            self.need[k] = max(1, math.ceil(least * config.need))
+            keep = len(ids) - 1 - max(0, least - self.need[k])
+            odds = often[ids[:-1]] * (often[ids[1:]] + np.append(often[ids[2:]], 0))
+            for p in np.argsort(odds, kind="stable")[:keep].tolist():
+                seeds += [(self._code(0, ids[p], x), k, p) for x in set(ids[p + 1 : p + 3].tolist())]
+        seeds.sort()
+        table = np.array(seeds, np.int64).reshape(-1, 3)
+        self.codes, first = np.unique(table[:, 0], return_index=True)
+        self.first = np.append(first, len(table))
+        self.at_item, self.at_pos = table[:, 1].copy(), table[:, 2].copy()
+        self.kinds = sorted({min(3, n) % 3 for n in sizes.tolist()})
+
+    def _code(self, kind: int, a, b):
+        """Number of a pair of words: near (0), or the whole of an item of one or two words."""
+        return (kind * self.base + a) * self.base + b
+
+    def _hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Items, places in the text and places in the item of all seeds in a text."""
+        codes, places = [], []
+        for kind in self.kinds:
+            for step in {0: (1, 2), 1: (0,), 2: (1,)}[kind]:
+                a, b = ids[: len(ids) - step], ids[step:]
+                live = np.flatnonzero((a > 0) & (b > 0))
+                codes.append(self._code(kind, a[live], b[live]))
+                places.append(live)
+        code, place = np.concatenate(codes), np.concatenate(places)
+        at = np.searchsorted(self.codes, code)
+        at[at == len(self.codes)] = 0
+        found = self.codes[at] == code
+        at, place = at[found], place[found]
+        n = self.first[at + 1] - self.first[at]
+        row = np.repeat(self.first[at] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+        return self.at_item[row], np.repeat(place, n), self.at_pos[row]
 
     def matches(self, text: str | None) -> list[tuple]:
         """(item, score, normalised score, spans) of every item that the text aligns with."""
@@ -107,23 +142,29 @@ class Seeds:
         get = self.number.get
         ws = words(text)
         ids = np.fromiter((get(w, 0) for w in ws), np.int64, len(ws))
-        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for n in (c.n, *self.short):
-            if len(ids) < n or not len(self.codes):
-                continue
-            codes = self._rolling(ids, n)
-            live = np.flatnonzero(codes)
-            at = np.searchsorted(self.codes, codes[live])
-            at[at == len(self.codes)] = 0
-            for pos in live[self.codes[at] == codes[live]].tolist():
-                for k, p in self.places[int(codes[pos])]:
-                    hits[k].append((pos - p, pos))
+        if not len(ids):
+            return []
+        item_of, place, p = self._hits(ids)
+        if not len(place):
+            return []
+        # A hit stays if enough hits of its item start within the words that an alignment may span.
+        apart = len(ids) + int(max(len(i) for _, i in self.items) + self.spare.max()) + 1
+        key = item_of * apart + place
+        order = np.argsort(key, kind="stable")
+        item_of, place, p, key = item_of[order], place[order], p[order], key[order]
+        last = np.arange(len(key)) + self.need[item_of] - 1
+        inside = last < len(key)
+        reach = self.lengths[item_of] + self.spare[item_of]
+        near = np.flatnonzero(inside)[key[last[inside]] - key[inside] <= reach[inside]]
+        hits: dict[int, list[int]] = defaultdict(list)
+        for k, start in zip(item_of[near].tolist(), (place[near] - p[near]).tolist(), strict=True):
+            hits[k].append(start)
         out = []
         for k, found in hits.items():
             item = self.items[k][1]
-            size, slack = len(item), max(4, len(item) // 4)
+            size, slack = len(item), int(self.spare[k])
             spans, best = [], None
-            for start, _ in sorted(found):
+            for start in sorted(found):
                 lo, hi = max(0, start - slack), min(len(ids), start + size + slack)
                 if spans and lo <= spans[-1][1]:
                     spans[-1][1] = max(hi, spans[-1][1])
@@ -142,26 +183,6 @@ class Seeds:
         return sorted(out, key=lambda r: (r[0] is None, r[0]))
 
 
-def word_shares(docs: DataFrame, vocab: set[str], text_col: str) -> tuple[dict[str, int], int]:
-    """Corpus counts of the test items' words, and of all words; summed per task first."""
-    held = docs.sparkSession.sparkContext.broadcast(frozenset(vocab))
-
-    def partial(batches):
-        total, seen = 0, Counter()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                ws = words(t)
-                total += len(ws)
-                got = Counter(ws)
-                for w in held.value & got.keys():
-                    seen[w] += got[w]
-        yield pa.RecordBatch.from_arrays([pa.array([None, *seen], pa.string()), pa.array([total, *seen.values()], pa.int64())], ["w", "n"])
-
-    rows = docs.select(text_col).mapInArrow(partial, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
-    total = next((r["n"] for r in rows if r["w"] is None), 0)
-    return {r["w"]: r["n"] for r in rows if r["w"] is not None}, total
-
-
 FOUND = "array<struct<item_id:long,score:int,normalised:double,doc_start:int,doc_end:int,item_start:int,item_end:int>>"
 
 
@@ -184,10 +205,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     if not items:
         return docs.where("false").select(F.col(id_col), *[F.lit(None).cast(t).alias(n) for n, t in (x.split(":") for x in FOUND[13:-2].split(","))])
-    counts, total = word_shares(docs, {w for _, ws in items for w in ws}, text_col)
-    # Each factor is a word's share; the n-th root of the corpus size spreads it over the factors.
-    scale = max(1, total) ** (1 / config.n)
-    share = {w: n / max(1, total) * scale for w, n in counts.items()}
     groups: list[list[tuple]] = [[]]
     size = 0
     for x in items:
@@ -198,7 +215,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         size += len(x[1])
     parts = []
     for group in groups:
-        held = spark.sparkContext.broadcast(Seeds(group, share, config))
+        held = spark.sparkContext.broadcast(Seeds(group, config))
         parts.append(docs.select(F.col(id_col), F.explode(arrow_column(_matcher(held), FOUND, text_col)).alias("m")).select(id_col, "m.*"))
     out = parts[0]
     for p in parts[1:]:
