@@ -2,6 +2,7 @@
 
 import io
 import random
+import textwrap
 import zlib
 from collections import Counter
 
@@ -290,6 +291,17 @@ def test_licences(spark, docs):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+@pytest.mark.parametrize("width", [1, 30, 72])
+def test_licences_wrapped(spark, docs, width):
+    model = licences.fit(docs)
+    named = {k: next(x for x in licences.TEMPLATES if x[1].startswith(start)) for k, start in (("bsd", "Redistribution"), ("gpl", "This program is free"), ("isc", "Permission to use"), ("nc", "This work is licensed under a Creative Commons Attribution-NonCommercial"))}
+    wrap = lambda t: textwrap.wrap(t, width, break_long_words=False, break_on_hyphens=False)
+    rows = [(k, "\n * ".join(["/* Copyright 2020", "", *wrap(t), "", "words of another kind"])) for k, (_, t) in enumerate(named.values())]
+    lone = [(100, "this work\n\nis licensed\n\nunder the MIT\n\nLicense"), (101, "some words\nReleased under the MIT License.\nother words\nand more"), (102, "the driver showed\na license and\nregistration")]
+    got = Counter((r["doc_id"], r["family"]) for r in licences.scan(spark.createDataFrame(rows + lone, "doc_id long, text string"), model).collect())
+    assert got == Counter([*((k, f) for k, (f, _) in enumerate(named.values())), (101, "MIT")])
+
+
 # 8
 
 

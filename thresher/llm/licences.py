@@ -1,6 +1,12 @@
 """Licence scan by a trained paragraph classifier, scored with DataFrame functions only.
 
-A paragraph (line) is a set of word unigrams and bigrams. Sparse multinomial
+A notice is looked for in every line, and around every line break, since notices
+are published wrapped: there in the words before and after it that the longest
+template could have on either side, up to a blank line. Such a find counts where
+both sides add to it, unless a line beside it or the break before it shows the same. Of two notices
+around one break the likelier counts there, as of two on one line.
+
+A paragraph (line, or text around a break) is a set of word unigrams and bigrams. Sparse multinomial
 logistic regression, fitted on the driver from the template notices below, cut
 and padded variants of them, and a bounded sample of corpus paragraphs as the
 unknown class, gives a probability for each licence family and for unknown; a
@@ -23,7 +29,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "unknown"
@@ -160,32 +166,61 @@ def _train(x: np.ndarray, y: np.ndarray, k: int, config: LicenceConfig) -> tuple
     return w, b
 
 
+def _breaks(docs: DataFrame, model: LicenceModel) -> DataFrame:
+    """id, paragraph, norm: for each line break the words before it, a bar and those after it."""
+    side = max(n for _, n, _ in model.templates)  # a template has one word more, of which one at least is beyond the break
+    cut = lambda part, edge: F.filter(F.split(F.regexp_replace(F.array_join(part, " "), edge, ""), " "), lambda x: ~x.isin("", "\n"))
+
+    def around(at: Column) -> Column:  # twice as many tokens, as each word may have a break of its own
+        left = cut(F.slice("tokens", F.greatest(at - 2 * side, F.lit(0)) + 1, F.least(at, F.lit(2 * side)) + 1), "(?s)^.*\n \n")
+        right = cut(F.slice("tokens", at + 1, 2 * side + 1), "(?s)\n \n.*$")
+        right = F.slice(right, 1, side)
+        left = F.slice(left, F.greatest(F.size(left) - side, F.lit(0)) + 1, side)
+        return F.concat_ws("|", F.array_join(left, " "), F.array_join(right, " "))
+
+    tokens = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+|\n"), F.lit(0))
+    at = F.filter(F.transform("tokens", lambda x, i: F.when(x == "\n", i)), lambda i: i.isNotNull())
+    staged = docs.where(F.contains("text", F.lit("\n"))).select("id", tokens.alias("tokens"))
+    return staged.select("id", F.posexplode(F.transform(at, around)).alias("paragraph", "norm")).where("norm NOT LIKE '|%' AND norm NOT LIKE '%|'")
+
+
 def scan(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a licence paragraph: id, paragraph (from 0), family, probability, template
+    """One row a licence paragraph: id, paragraph (line from 0; of a wrapped notice that before its first break), family, probability, template
     (number in TEMPLATES), coverage."""
     spark = docs.sparkSession
     found = "(?i)\\b(?:" + "|".join(re.escape(t) for t in model.triggers) + ")\\b"
-    hits = docs.where(F.col(text_col).rlike(found)).select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("paragraph", "p")).where(F.col("p").rlike(found))
+    some = docs.where(F.col(text_col).rlike(found)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    lines = some.select("id", F.posexplode(F.split("text", "\n")).alias("paragraph", "p")).where(F.col("p").rlike(found))
     tokens = F.regexp_extract_all(F.lower("p"), F.lit("[a-z0-9]+"), F.lit(0))
-    hits = hits.select("id", "paragraph", F.array_join(tokens, " ").alias("norm")).where("norm <> ''")
-    w = F.split("norm", " ")
+    lines = lines.select("id", "paragraph", F.array_join(tokens, " ").alias("norm")).where("norm <> ''")
+    hits = lines.unionAll(_breaks(some, model).where(F.col("norm").rlike(found)))
+    w = F.split(F.translate("norm", "|", " "), " ")
     pairs = F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
     each = hits.select("norm").distinct().select("norm", F.explode(F.array_distinct(F.concat(w, pairs))).alias("gram"))
     k, t = len(model.classes), len(model.templates)
     rows = [(g, [float(v) for v in model.weights[i]], [int(g in pairs) for _, _, pairs in model.templates]) for i, g in enumerate(model.grams)]
     table = spark.createDataFrame(rows, "gram string, w array<double>, t array<int>")  # one row a template gram: fixed by TEMPLATES
     sums = [F.sum(F.col("w")[c]).alias(f"w{c}") for c in range(k)] + [F.sum(F.col("t")[c]).alias(f"t{c}") for c in range(t)]
+    inside = lambda part: F.contains(F.concat(F.lit(" "), F.substring_index("norm", "|", part), F.lit(" ")), F.concat(F.lit(" "), "gram", F.lit(" ")))
+    sums += [F.sum(F.when(F.contains("norm", F.lit("|")) & inside(part), F.col("t")[c]).otherwise(0)).alias(f"{side}{c}") for side, part in (("l", 1), ("r", -1)) for c in range(t)]
     summed = each.join(F.broadcast(table), "gram").groupBy("norm").agg(*sums)
     logits = F.array(*[F.col(f"w{c}") + F.lit(float(model.bias[c])) for c in range(k)])
-    covered = F.array(*[F.struct((F.col(f"t{c}") / F.lit(float(n))).alias("coverage"), F.lit(-c).alias("n")) for c, (_, n, _) in enumerate(model.templates)])
+    covered = F.array(*[F.struct((F.col(f"t{c}") / F.lit(float(n))).alias("coverage"), F.lit(-c).alias("n"), (F.greatest(f"l{c}", f"r{c}") / F.lit(float(n))).alias("side")) for c, (_, n, _) in enumerate(model.templates)])
     z = summed.select("norm", logits.alias("z"), covered.alias("c")).withColumn("top", F.array_max("z"))
     z = z.withColumn("total", F.aggregate("z", F.lit(0.0), lambda acc, v: acc + F.exp(v - F.col("top"))))
     names, family = F.array(*[F.lit(c) for c in model.classes]), F.array(*[F.lit(f) for f, _, _ in model.templates])
     z = z.withColumn("family", names[F.array_position("z", F.col("top")).cast("int") - 1]).withColumn("probability", 1.0 / F.col("total"))
     own = F.array_max(F.filter("c", lambda x: family[-x["n"]] == F.col("family")))
-    z = z.where(F.col("family") != UNKNOWN).withColumn("best", own).where((F.col("best.coverage") >= model.config.coverage) & (F.col("probability") >= model.config.least))
+    z = z.where(F.col("family") != UNKNOWN).withColumn("best", own).where((F.col("best.coverage") >= model.config.coverage) & (F.col("probability") >= model.config.least) & (F.col("best.coverage") > F.col("best.side")))
     scored = z.select("norm", "family", F.round("probability", 6).alias("probability"), (-F.col("best.n")).alias("template"), F.round("best.coverage", 6).alias("coverage"))
     # A third of all finds may be one paragraph: each scored paragraph meets its finds in SALTS parts.
     salted = hits.withColumn("salt", F.pmod(F.xxhash64("id", "paragraph"), F.lit(SALTS)).cast("int"))
     scored = scored.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(scored, ["norm", "salt"]).select(F.col("id").alias(id_col), "paragraph", "family", "probability", "template", "coverage")
+    finds = salted.join(scored, ["norm", "salt"])
+    out = [F.col("id").alias(id_col), "paragraph", "family", "probability", "template", "coverage"]
+    # Lines have even places, the breaks after them odd ones; a break beside a found line or after a found break repeats that find.
+    wrapped = F.contains("norm", F.lit("|"))
+    near = Window.partitionBy("id", "family").orderBy("place")
+    beside = F.count("*").over(near.rangeBetween(-2, -1)) + F.count("*").over(near.rangeBetween(1, 1))
+    placed = finds.withColumn("wrapped", wrapped).withColumn("place", 2 * F.col("paragraph") + F.col("wrapped").cast("int"))
+    return placed.withColumn("beside", beside).where("NOT wrapped OR beside = 0").select(*out)
