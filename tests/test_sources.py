@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from thresher.operators import pages, search
+from thresher.plans import registry
 from thresher.sources import providers, readers, transport
 from thresher.streaming import rpc
 
@@ -67,6 +68,16 @@ def test_files(spark, tmp_path):
     assert got == {"a.html": ("<meta charset=shift_jis>こ", None), "b.html": ("<meta charset=zzz>x", "zzz")}
 
 
+def test_files_are_whole(spark, tmp_path):
+    big = ("0123456789abcde\n" * (6 << 16))[:-1]
+    (tmp_path / "big.txt").write_text(big)
+    assert readers.read_files(spark, str(tmp_path / "big.txt")).first()["body"] == big
+    stored = [(1, "u", big), (2, "u", "<p>é\n\n</p>\n"), (3, "u", ""), (4, "u", None)]
+    spark.createDataFrame(stored, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = [r["n"] for r in registry.QUERIES["scan_files"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(len((h or "").encode()) for _, _, h in stored)
+
+
 def test_stream(spark, tmp_path):
     src, out = tmp_path / "in", tmp_path / "out"
     src.mkdir()

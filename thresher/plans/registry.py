@@ -373,13 +373,14 @@ def ref_number(spark, sf_dir):
 
 @query()
 def scan_files(spark, sf_dir):
-    """Stored pages written as raw files in the shared folder and read back as such."""
+    """Stored pages written as raw files in the shared folder, one a page, and read back as such: one row a page."""
     import uuid
 
     base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/thresher-files"
     path = f"{base.rstrip('/')}/files-{uuid.uuid4().hex[:12]}"
-    table(spark, sf_dir, "pages").select(F.regexp_replace("html", "\n", " ").alias("value")).write.text(path)
-    return readers.read_files(spark, f"{path}/part-*").select(F.octet_length("body").cast("bigint").alias("n"), "undecodable")
+    table(spark, sf_dir, "pages").select(F.col("html").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    page = F.regexp_replace("body", "\n\\z", "")  # the writer ends each file with a newline
+    return readers.read_files(spark, f"{path}/part-*").select(F.octet_length(page).cast("bigint").alias("n"), "undecodable")
 
 
 # ------------------------------------------------------------ search

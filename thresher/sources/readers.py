@@ -66,8 +66,8 @@ def charset_decode(raw: Column, label: Column) -> Column:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, body, undecodable of raw files: the label comes from the bytes alone."""
-    files = spark.read.format("binaryFile").load(path).select("path", W.body_cap(F.col("content")).alias("raw"))
+    """path, body, undecodable of whole raw files: the label comes from the bytes alone."""
+    files = spark.read.format("binaryFile").load(path).select("path", F.col("content").alias("raw"))
     return files.withColumn("d", charset_decode(F.col("raw"), W.charset_meta(F.col("raw")))).select("path", F.col("d.text").alias("body"), F.col("d.undecodable").alias("undecodable"))
 
 
