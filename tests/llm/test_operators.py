@@ -302,6 +302,14 @@ def test_licences_wrapped(spark, docs, width):
     assert got == Counter([*((k, f) for k, (f, _) in enumerate(named.values())), (101, "MIT")])
 
 
+def test_licences_underscores_and_sample(spark, docs):
+    model = licences.fit(docs)
+    odd = spark.createDataFrame([(1, "xx Released_under_the_MIT_License_ yy")], "doc_id long, text string")
+    assert [r["family"] for r in licences.scan(odd, model).collect()] == ["MIT"]
+    few, many = (licences.fit(docs, config=licences.LicenceConfig(corpus_rows=n)) for n in (1, 200))
+    assert few.weights.shape == many.weights.shape and not np.allclose(few.weights, many.weights)  # a small table gives its rows
+
+
 # 8
 
 

@@ -71,7 +71,7 @@ _STOP = set("a an and any are as be by for from in is it of on or that the this
 class LicenceConfig:
     coverage: float = 0.6
     least: float = 0.5  # probability of the family
-    corpus_rows: int = 400  # documents that give paragraphs of the unknown class
+    corpus_rows: int = 400  # documents, by least hash, whose first four lines under 400 characters are of the unknown class
     rounds: int = 300
     rate: float = 0.5
     decay: float = 1e-3
@@ -101,8 +101,9 @@ def grams(w: list[str]) -> set[str]:
 def fit(docs: DataFrame, text_col: str = "text", config: LicenceConfig = LicenceConfig()) -> LicenceModel:
     rng = np.random.default_rng(config.seed)
     h = F.xxhash64(text_col)
-    picked = docs.where(F.col(text_col).isNotNull()).select(h.alias("h"), F.expr(f"filter(split(`{text_col}`, '\\n'), x -> length(x) < 400)").alias("p")).where(F.pmod("h", F.lit(997)) == 0).orderBy("h").limit(config.corpus_rows).collect()
-    corpus = [words(p) for r in picked for p in r["p"][:4]]
+    least = docs.where(F.col(text_col).isNotNull()).select(h.alias("h"), F.col(text_col).alias("t")).orderBy("h").limit(config.corpus_rows)
+    picked = least.select("h", F.expr("slice(filter(split(t, '\\n'), x -> length(x) < 400), 1, 4)").alias("p")).collect()
+    corpus = [words(p) for r in picked for p in r["p"]]
     templates = [(f, words(t)) for f, t in TEMPLATES]
     known = set().union(*(grams(w) for _, w in templates))
     filler = sorted({x for w in corpus for x in w}) or ["lorem", "ipsum", "dolor"]
@@ -188,7 +189,7 @@ def scan(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col:
     """One row a licence paragraph: id, paragraph (line from 0; of a wrapped notice that before its first break), family, probability, template
     (number in TEMPLATES), coverage."""
     spark = docs.sparkSession
-    found = "(?i)\\b(?:" + "|".join(re.escape(t) for t in model.triggers) + ")\\b"
+    found = "(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(t) for t in model.triggers) + ")(?![a-z0-9])"
     some = docs.where(F.col(text_col).rlike(found)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     lines = some.select("id", F.posexplode(F.split("text", "\n")).alias("paragraph", "p")).where(F.col("p").rlike(found))
     tokens = F.regexp_extract_all(F.lower("p"), F.lit("[a-z0-9]+"), F.lit(0))
