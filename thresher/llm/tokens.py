@@ -14,14 +14,17 @@ shards named by the written manifest count, so that lost or repeated tasks
 leave at most unused files.
 
 Defined cases: null text is the empty text (just the end id); null ids come
-first; rows with equal ids are ordered by content; an empty table gives an
-empty data set.
+first; rows with equal ids are ordered by token count and content; an empty
+table gives an empty data set; texts of any length are one frame, encoded
+whole; other columns, whatever their names, are not read. A sample of under 16
+texts or 8 KiB of ids, or one that the trainer refuses, gives no dictionary: frames are then plain zstandard,
+the footer has the hash of the empty string and the manifest's ``dictionary`` is null.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
+import os
 import struct
 import uuid
 import zlib
@@ -30,51 +33,60 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import arrow_column, open_fs, shared_dir, texts
+from ._common import arrow_column, drop_scratch, open_fs, shared_dir
 
 MAGIC = b"TOKSHRD1"
 _FOOTER = struct.Struct("<QQQB32s8s")
-_LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
-_OTHER = re.compile(f"[^\\t\\n\\r -~{_LATIN}]")
-#: How byte-level BPE splits text, over the characters that _OTHER leaves.
-_SPLIT = re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{_LATIN}]+| ?[0-9]+| ?[^\\s0-9{_LATIN}]+|\\s+(?!\\S)|\\s+")
-_RUNS = ("  ", "\n ", "\t ", "\r ")
-
-
-def _byte_letters() -> dict[int, str]:
-    """The printable stand-in of each byte in byte-level vocabularies: printable Latin-1
-    bytes stand for themselves, the others for the characters from U+0100 on."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in own]
-    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+#: White space (and the control characters that some call so) with a space after it.
+_GAP = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
+#: A letter with ASCII punctuation after it, and a single line end between characters that are no white space.
+_LETTER_END = r"([A-Za-zÀ-ÖØ-öø-ɏ])([!-/:-@\[-`{-~])"
+_LINE_END = "([!-~À-ɏ])\n([!-~À-ɏ])"
+_PROBE = ["It's a\n\ntest, don't\tstop 123 Été! x2\n", "", "tail ", "\U0001f642 日本 語ü\u0308 ²½", "A b,\nC"]
 
 
 class Encoder:
-    """Serialised token ids of texts by the tokenizers library, remembering space-led pieces.
-
-    The byte-level split starts a new pre-token at every space that follows a
-    character other than white space, and merges never cross pre-tokens, so a
-    text's ids are those of its space-led pieces in order. Texts with characters
-    outside the range tested for this, with white space before a space, or with
-    a special token's string, go to the library whole.
+    """Serialised token ids of texts by the tokenizers library, many at a time, remembering pieces.
+
+    A byte-level split begins a new pre-token at every space that follows anything
+    but white space, where letters end and punctuation follows, and at both sides of
+    a single line end; what it does from there on depends on nothing before. A
+    splitter that drops white space ends a pre-token there too. Merges never cross
+    pre-tokens, so a text's ids are those of its pieces between such places in
+    order (with the space that leads them, or without). The library encodes each
+    piece that isn't remembered; pieces are parted by a special token's string, which the
+    library cuts out before all else. Texts with white space before a space, with
+    a zero character or with a special token's string go to the library whole, as
+    do all texts where a probe shows another rule.
+
+    Pieces of up to 64 characters are remembered, in two generations of about ``memory``
+    bytes; the older one is dropped when the younger is full.
     """
 
-    def __init__(self, path: str, width: int = 4, memory: int = 600_000):
+    def __init__(self, path: str, width: int = 4, memory: int = 64 << 20):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.kind, self.memory, self.letters = f"<u{width}", memory, _byte_letters()
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        probe = "It's a\n\ntest, don't\tstop 123 Été! x2\n"
-        try:
-            self.fast = self._pieces(probe) == self._whole(probe)
-        except Exception:  # a vocabulary without these byte letters
-            self.fast = False
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = [t.content for t in added.values()]
+        self.stop = next(((k, t.content) for k, t in sorted(added.items()) if k < 1 << 8 * width), None)
+        self.kind, self.width, self.memory = f"<u{width}", width, memory
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held, self.lead = 0, None
+        if self.stop:
+            want = [self._whole(t) for t in _PROBE]
+            for lead in ("\0 ", "\0"):
+                self.lead, self.young = lead, {}
+                if self._pieces(pa.array(_PROBE)) == want:
+                    break
+            else:
+                self.lead = None
 
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
@@ -82,33 +94,78 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _part(self, part: str) -> bytes:
-        if (got := self.parts.get(part)) is None:
-            mapped = "".join(map(self.letters.__getitem__, part.encode()))
-            got = self._pack([t.id for t in self.tokenizer.model.tokenize(mapped)])
-            if len(self.parts) < self.memory:
-                self.parts[part] = got
-        return got
-
-    def _pieces(self, text: str) -> bytes:
-        head, *rest = text.split(" ")
-        first = b"".join(map(self._part, _SPLIT.findall(head)))
-        try:
-            return b"".join([first, *map(self.known.__getitem__, rest)])
-        except KeyError:
-            return b"".join([first, *map(self._piece, rest)])
-
-    def _piece(self, piece: str) -> bytes:
-        if (got := self.known.get(piece)) is None:
-            got = b"".join(map(self._part, _SPLIT.findall(f" {piece}")))
-            if len(self.known) < self.memory:  # frequent pieces come early
-                self.known[piece] = got
-        return got
+    def _learn(self, pieces: list[str]) -> Iterator[bytes]:
+        stop, mark = self.stop
+        for k in range(0, len(pieces), 1000):
+            some = pieces[k : k + 1000]
+            (got,) = self.tokenizer.encode_batch_fast([mark.join(some)], add_special_tokens=False)
+            ids = np.array(got.ids, self.kind)
+            ends = np.append(np.flatnonzero(ids == stop), len(ids))
+            if len(ends) != len(some):
+                yield from map(self._whole, some)
+                continue
+            raw, w, start = ids.tobytes(), self.width, 0
+            for e in ends.tolist():
+                yield raw[start * w : e * w]
+                start = e + 1
+
+    def _values(self, pieces: list[str]) -> list[bytes]:
+        out = list(map(self.young.get, pieces))
+        new = []
+        for k in [k for k, v in enumerate(out) if v is None]:
+            if (v := self.old.get(pieces[k])) is None:
+                new.append(k)
+            else:
+                out[k] = v
+                self._keep(pieces[k], v)
+        for k, v in zip(new, self._learn([pieces[k] for k in new]), strict=True):
+            out[k] = v
+            self._keep(pieces[k], v)
+        return out
+
+    def _keep(self, piece: str, ids: bytes) -> None:
+        if len(piece) > 64:
+            return
+        self.held += 200 + len(piece) + len(ids)
+        if self.held > self.memory:
+            self.old, self.young, self.held = self.young, {}, 0
+        self.young[piece] = ids
+
+    def _pieces(self, array: pa.Array) -> list[bytes]:
+        led = pc.replace_substring_regex(pc.replace_substring(array, " ", self.lead), _LETTER_END, "\\1\0\\2")
+        lists = pc.split_pattern(pc.replace_substring_regex(led, _LINE_END, "\\1\0\n\0\\2"), "\0")
+        coded = lists.flatten().dictionary_encode()
+        values = pa.array(self._values(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        _, offsets, data = values.buffers()
+        ends = np.frombuffer(offsets, np.int64, len(values) + 1) if len(values) else np.zeros(1, np.int64)
+        cut, ids = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist(), memoryview(data or b"")
+        return [ids[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
+
+    def batch(self, array: pa.Array) -> Iterator[bytes]:
+        """The serialised ids of every text of an array (null: the empty text), in order."""
+        array = pc.fill_null(array.cast(pa.large_string()), "")
+        sizes = np.cumsum(pc.binary_length(array).to_numpy())
+        at = 0
+        while at < len(array):
+            to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + (8 << 20), "right")))
+            part, at = array[at:to], to
+            if self.lead is None:
+                yield from (self._whole(t.as_py()) for t in part)
+                continue
+            odd = pc.or_(pc.match_substring_regex(part, _GAP), pc.match_substring(part, "\0"))
+            for s in self.special:
+                odd = pc.or_(odd, pc.match_substring(part, s))
+            odd = odd.to_numpy(zero_copy_only=False)
+            plain = iter(self._pieces(part.filter(pa.array(~odd))) if not odd.all() else ())
+            for k, whole in enumerate(odd.tolist()):
+                yield self._whole(part[k].as_py()) if whole else next(plain)
+
+    def counts(self, array: pa.Array) -> np.ndarray:
+        """The number of ids of every text of an array."""
+        return np.fromiter((len(x) // self.width for x in self.batch(array)), np.int64, len(array))
 
     def __call__(self, text: str) -> bytes:
-        if not self.fast or text[:1] == " " or not text.isascii() and _OTHER.search(text) or text.isascii() and not text.isprintable() and _OTHER.search(text) or any(r in text for r in _RUNS) or any(s in text for s in self.special):
-            return self._whole(text)
-        return self._pieces(text)
+        return next(self.batch(pa.array([text])))
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
@@ -144,12 +201,12 @@ def train_dictionary(docs: DataFrame, config: TokenConfig, text_col: str = "text
     Longer texts than ``dictionary_row_chars`` don't take part; too few samples give no dictionary."""
     import zstandard as z
 
-    pick = docs.select(F.col(text_col).alias("t")).where((F.length("t") > 0) & (F.length("t") <= config.dictionary_row_chars))
-    keys = pick.select(F.xxhash64("t").alias("h")).orderBy("h").limit(config.dictionary_rows)
-    edge = keys.agg(F.max("h")).first()[0]
-    if edge is None:
-        return b""
-    rows = pick.withColumn("h", F.xxhash64("t")).where(F.col("h") <= edge).groupBy("h").agg(F.min("t").alias("t")).orderBy("h").limit(config.dictionary_rows).collect()
+    # One pass: texts whose hash falls below a share that holds four times the wanted number.
+    n, most = docs.count(), 4 * config.dictionary_rows
+    edge = (2**64 - 1) * min(n, most) // max(n, 1) - 2**63
+    pick = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t")).where((F.length("t") > 0) & (F.length("t") <= config.dictionary_row_chars))
+    drawn = pick.where(F.col("h") <= edge)
+    rows = drawn.groupBy("h").agg(F.min("t").alias("t")).orderBy("h").limit(config.dictionary_rows).collect()
     enc, end = encoder(config.tokenizer, config.width), config.end_id.to_bytes(config.width, "little")
     samples = [enc(r["t"]) + end for r in rows]
     if len(samples) < 16 or sum(map(len, samples)) < 8 * 1024:
@@ -161,7 +218,7 @@ def train_dictionary(docs: DataFrame, config: TokenConfig, text_col: str = "text
 
 
 def encode_frames(docs: DataFrame, config: TokenConfig, dictionary: bytes, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_tokens, frame) of every row; no shuffle."""
+    """(id, n_tokens, key, frame) of every row; key is a hash of the frame; no shuffle."""
     held = docs.sparkSession.sparkContext.broadcast(dictionary)
 
     def frames(array: pa.Array) -> pa.Array:
@@ -170,14 +227,13 @@ def encode_frames(docs: DataFrame, config: TokenConfig, dictionary: bytes, id_co
         enc, end = encoder(config.tokenizer, config.width), config.end_id.to_bytes(config.width, "little")
         c = z.ZstdCompressor(level=config.level, dict_data=_zdict(held.value), write_content_size=True)
         n, out = [], []
-        for t in texts(array):
-            ids = enc(t) + end
-            n.append(len(ids) // config.width)
-            out.append(c.compress(ids))
+        for ids in enc.batch(array):
+            n.append(len(ids) // config.width + 1)
+            out.append(c.compress(ids + end))
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(out, pa.binary())], ["n_tokens", "frame"])
 
     r = docs.select(F.col(id_col).cast("long").alias("id"), arrow_column(frames, "struct<n_tokens:long,frame:binary>", text_col).alias("r"))
-    return r.select("id", F.col("r.n_tokens").alias("n_tokens"), F.col("r.frame").alias("frame"))
+    return r.select("id", F.col("r.n_tokens").alias("n_tokens"), F.xxhash64("r.frame").alias("key"), F.col("r.frame").alias("frame"))
 
 
 class ShardWriter:
@@ -258,6 +314,7 @@ def write_tokens(docs: DataFrame, path: str, config: TokenConfig, id_col: str =
     frames = spark.read.parquet(scratch)
     total = frames.agg(F.sum(F.octet_length("frame") + 32).alias("b")).first()["b"] or 0
     parts = max(1, -(-total // config.shard_bytes), min(spark.sparkContext.defaultParallelism, total // (1 << 20)))
+    named = hashlib.sha256(dictionary).hexdigest() if dictionary else None
     digest, width, limit = hashlib.sha256(dictionary).digest(), config.width, config.shard_bytes
 
     def shards(batches):
@@ -268,7 +325,7 @@ def write_tokens(docs: DataFrame, path: str, config: TokenConfig, id_col: str =
 
         def end():
             size = w.close()
-            out.append((part, seq, name, len(w.ids), tokens, size))
+            out.append((part, seq, name, len(w.ids), tokens, size, named))
 
         for b in batches:
             for i, n, frame in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
@@ -282,12 +339,12 @@ def write_tokens(docs: DataFrame, path: str, config: TokenConfig, id_col: str =
                     w, seq = None, seq + 1
         if w is not None:
             end()
-        yield pa.RecordBatch.from_pylist([dict(zip(("part", "seq", "file", "docs", "tokens", "bytes"), r, strict=True)) for r in out], pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("file", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())]))
-
-    ordered = frames.repartitionByRange(int(parts), F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "n_tokens", "frame")
-    ordered.select("id", "n_tokens", "frame").mapInArrow(shards, "part long, seq long, file string, docs long, tokens long, bytes long").write.parquet(f"{path}/manifest")
-    from ._common import drop_scratch
+        yield pa.RecordBatch.from_pylist([dict(zip(("part", "seq", "file", "docs", "tokens", "bytes", "dictionary"), r, strict=True)) for r in out], pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("file", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64()), ("dictionary", pa.string())]))
 
+    # Rows of one id (or of none) may be a third of all: the range goes on by count and content, so that they split.
+    order = [F.col("id").asc_nulls_first(), F.col("n_tokens"), F.col("key")]
+    ordered = frames.repartitionByRange(int(parts), *order).sortWithinPartitions(*order, "frame").select("id", "n_tokens", "frame")
+    ordered.mapInArrow(shards, "part long, seq long, file string, docs long, tokens long, bytes long, dictionary string").write.parquet(f"{path}/manifest")
     drop_scratch(spark, scratch)
 
 
@@ -318,7 +375,7 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*buf, strict=True), schema.types, strict=True)], schema=schema)
 
     n = max(1, shards.count())
-    return placed.select("file", "base").repartition(min(n, 10_000), "file").mapInArrow(rows, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if ids else ""))
+    return placed.select("file", "base").repartition(min(n, 10_000)).mapInArrow(rows, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if ids else ""))
 
 
 def read_document(path: str, shard: str, k: int) -> np.ndarray:
