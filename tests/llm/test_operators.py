@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -399,6 +400,46 @@ def test_toxicity(spark, empty):
 # 10
 
 
+def test_rollup_query_against_brute_force(spark, docs, rows, tmp_path):
+    from tokenizers import Tokenizer
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    sizes = {n.removesuffix(".json"): Tokenizer.from_file(registry.tokenizer_path(n)) for n in registry.TOKENIZERS}
+    want: dict = {}
+    first: dict = {}
+    for r in rows:
+        if r[1] is not None and r[0] is not None:
+            first[r[1]] = min(first.get(r[1], r[0]), r[0])
+    for i, t, lang, source, _ in rows:
+        if t is not None and t in first and (i is None or i > first[t]):
+            continue
+        a, b = (len(x.encode(t or "", add_special_tokens=False).ids) for x in sizes.values())
+        key = (source, lang, list(sizes)[a != b])
+        n, m = want.get(key, (0, 0))
+        want[key] = n + 1, m + (b if a != b else a)
+    got = registry.op10_token_rollups(spark, str(tmp_path)).collect()
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in got} == want and len(got) == len(want)
+
+
+def test_encoder_pieces_of_two_tokenizers():
+    r = random.Random(8)
+    bits = ["a", "bé", "日", "\U0001f642", " ", " ", "\n", "\t", "'s", "'", "1", "²", ".", "\u00a0", "\u0308", "\0", "<|endoftext|>", "Σ", "\x1c", "\u3000", "don't", "\r\n", "x" * 80]
+    odd = ["".join(r.choice(bits) for _ in range(r.randint(0, 14))) for _ in range(3000)]
+    for name in registry.TOKENIZERS:
+        e = tokens.Encoder(registry.tokenizer_path(name), 2, memory=20_000)
+        assert e.lead is not None and list(e.batch(pa.array([*odd, None]))) == [*map(e._whole, odd), b""]
+        assert e.held <= 20_000 and len(e.young) + len(e.old) < 300
+
+
+def test_hot_id_splits_over_shards(spark):
+    r = random.Random(4)
+    df = spark.createDataFrame([(7 if k % 3 else None, prose(EN, r.randint(1, 40)), None, None, 0) for k in range(600)], DOCS)
+    path = shared_dir(spark, "t")
+    tokens.write_tokens(df, path, tokens.TokenConfig(registry.tokenizer_path(), shard_bytes=6 * 1024))
+    shards = spark.read.parquet(f"{path}/manifest").collect()
+    assert len({s["part"] for s in shards}) > 3 and max(s["docs"] for s in shards) < 300 and sum(s["docs"] for s in shards) == 600
+
+
 def test_rollups(spark):
     ledger = rollups.Ledger(spark, shared_dir(spark, "ledger"))
     rows = lambda *x: spark.createDataFrame(x, "source string, lang string, tokenizer_version string, n_tokens long, extra int")

@@ -9,6 +9,7 @@ from . import decontaminate, langid, licences, mixing, rollups, simhash, tiff, t
 from ._common import held_out, materialise, shared_dir, table, trainable
 
 TOKENIZER = "byte_bpe_50k.json"
+TOKENIZERS = [TOKENIZER, "word_bpe_49k.json"]  # of the rollups, older first
 SALTS = 64
 
 
@@ -79,21 +80,26 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Load all documents, recount those on which the newer rule differs, delete exact copies, send the recount again."""
+    """Load all documents counted by one tokenizer, recount those on which the newer one differs, delete exact copies,
+    send the recount again. Of rows with one text that with the least doc_id (and what repeats that id) stays; rows
+    without an id go where one with an id has their text."""
     docs = table(spark, sf_dir, "documents")
-    slim = materialise(docs.select("doc_id", "source", "lang", F.sha2("text", 256).alias("digest"), *[rollups.count(F.col("text"), v).alias(v) for v in rollups.RULES]), "counts")
-    as_version = lambda df, v: df.select("source", "lang", F.lit(v).alias("tokenizer_version"), F.col(f"`{v}`").alias("n_tokens"))
-    differ = F.col("`words-1`") != F.col("`words-2`")
+    old, new = versions = [n.removesuffix(".json") for n in TOKENIZERS]
+    counts = rollups.counted(docs.select("doc_id", "source", "lang", "text"), dict(zip(versions, map(tokenizer_path, TOKENIZERS), strict=True)))
+    slim = materialise(counts.select("doc_id", "source", "lang", F.sha2("text", 256).alias("digest"), *versions), "counts")
+    as_version = lambda df, v: df.select("source", "lang", F.lit(v).alias("tokenizer_version"), F.col(v).alias("n_tokens"))
+    differ = F.col(old) != F.col(new)
     firsts = slim.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first")
     # Copies of one text may be a third of all rows: each repeated digest meets them in SALTS parts.
     firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    copies = slim.join(firsts, (slim.digest == firsts.d) & (F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)) == firsts.salt)).where("doc_id > first")
+    met = slim.withColumn("salt_of", F.pmod(F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id())), F.lit(SALTS)))
+    copies = met.join(firsts, (met.digest == firsts.d) & (met.salt_of == firsts.salt)).where("doc_id > first OR doc_id IS NULL AND first IS NOT NULL")
     ledger = rollups.Ledger(spark, shared_dir(spark, "rollup"))
-    recount = rollups.revise(as_version(slim.where(differ), "words-1"), as_version(slim.where(differ), "words-2"))
-    ledger.commit("load", rollups.insert(as_version(slim, "words-1")))
+    recount = rollups.revise(as_version(slim.where(differ), old), as_version(slim.where(differ), new))
+    ledger.commit("load", rollups.insert(as_version(slim, old)))
     ledger.commit("recount", recount)
     ledger.snapshot()
-    ledger.commit("dedupe", rollups.delete(as_version(copies.where(~differ), "words-1").unionByName(as_version(copies.where(differ), "words-2"))))
+    ledger.commit("dedupe", rollups.delete(as_version(copies.where(~differ), old).unionByName(as_version(copies.where(differ), new))))
     ledger.commit("recount", recount)
     return ledger.totals()
 
@@ -107,12 +113,4 @@ SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
        CASE WHEN n >= 1000 AND page_id <> m THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN n >= 1000 AND page_id <> m THEN m END AS refers_to
 FROM q""",
-    "op10_token_rollups": r"""
-WITH c AS (SELECT doc_id, source, lang, text,
-       len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS c1,
-       len(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS c2,
-       min(doc_id) OVER (PARTITION BY text) AS first FROM documents)
-SELECT source, lang, CASE WHEN c1 <> c2 THEN 'words-2' ELSE 'words-1' END AS tokenizer_version,
-       count(*)::BIGINT AS docs, sum(CASE WHEN c1 <> c2 THEN c2 ELSE c1 END)::BIGINT AS tokens
-FROM c WHERE text IS NULL OR doc_id = first GROUP BY 1, 2, 3""",
 }
