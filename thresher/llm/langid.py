@@ -3,12 +3,16 @@
 Every text becomes a hashed bag of byte n-grams (letters only, lower case),
 weighted by smoothed IDF and normalised. Each language has several centroids
 from spherical k-means; a text takes the language of the centroid with the
-smallest cosine distance. A text whose distance is larger than what the
-training texts of like length show is rejected.
-
-Defined cases: null text or text without a letter gives ``und``, score 0,
-rejected. No usable training rows gives ``und`` for all. Repeated rows are
-scored alike; ties between centroids go to the first language by code point.
+smallest cosine distance; a cluster that holds few of its language's texts (a
+foreign passage, junk) makes no centroid. A text whose distance is too large for its length
+is rejected: the limit lies between the distances of training texts to their own
+language and, each language left out in turn, to the others.
+
+Defined cases: null text or text without a letter (numerals such as ½ or Ⅷ are
+none) gives ``und``, score 0, rejected. No usable training rows, or an empty
+table to learn from, gives ``und`` for all; an empty table to predict gives an empty
+one. Texts of any length are scored whole. Repeated rows are scored alike (and drawn
+once for the fit); ties between centroids go to the first language by code point.
 Input columns named like an output column are replaced.
 """
 
@@ -25,21 +29,27 @@ from pyspark.sql import functions as F
 from ._common import arrow_column, texts, with_fields
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Numerals that count as word characters but are neither letters nor decimal digits.
+_NUMERALS = re.compile("[" + "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()) + "]+")
 OUT = ["lang_pred", "score", "lang_distance", "lang_rejected"]
 OUT_TYPE = "struct<lang_pred:string,score:double,lang_distance:double,lang_rejected:boolean>"
 
 
 @dataclass(frozen=True)
 class LangIdConfig:
-    """Fit bounds: at most about ``rows_per_language`` texts of a language shape its centroids;
-    IDF counts come from every training row."""
+    """Fit bounds: at most about ``rows_per_language`` texts of a language, and ``sample_rows`` of all, shape the
+    centroids; IDF counts come from every training row."""
 
     dims_log2: int = 14
     sizes: tuple[int, ...] = (2, 3)
     centroids: int = 4
     rounds: int = 8
     rows_per_language: int = 800
-    slack: float = 0.3
+    sample_rows: int = 40_000
+    least_share: float = 0.05  # of a language's sampled texts that a centroid needs
+    own_tail: float = 0.01  # of training texts are farther from their own language than the limits are set by
+    foreign_tail: float = 0.05  # of texts of a language left out are nearer to the others than that
+    slack: float = 0.3  # of the own tail where there is no other language to leave out
 
 
 @dataclass
@@ -54,7 +64,10 @@ class LangIdModel:
 
 def codes(text: str, config: LangIdConfig) -> np.ndarray:
     """Hashed n-gram numbers of a text, repeats included."""
-    clean = _NOT_LETTERS.sub(" ", text.lower()).strip()
+    clean = _NOT_LETTERS.sub(" ", text.lower())
+    if not clean.isascii():
+        clean = _NUMERALS.sub(" ", clean)
+    clean = clean.strip()
     if not clean:
         return np.zeros(0, np.uint32)
     b = np.frombuffer(f" {clean} ".encode("utf-8", "replace"), np.uint8).astype(np.uint32)
@@ -91,22 +104,30 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col
     df_counts, total = _document_frequencies(rows, config)
     idf = (np.log((1 + total) / (1 + df_counts)) + 0.1).astype(np.float32)
     # A row is drawn when its hash falls below the share that its language needs.
-    share = F.create_map(*[x for l in languages for x in (F.lit(l), F.lit(min(1.0, config.rows_per_language / counts[l])))])
+    most = min(config.rows_per_language, max(1, config.sample_rows // len(languages)))
+    share = F.create_map(*[x for l in languages for x in (F.lit(l), F.lit(min(1.0, most / counts[l])))])
     draw = F.pmod(F.xxhash64(F.col("i"), F.col("t")), F.lit(1 << 30)) < share[F.col("l")] * (1 << 30)
-    sample = sorted(((r["l"], r["t"]) for r in rows.where(draw).select("l", "t").collect()), key=lambda x: (x[0], x[1]))
-    owner, cents, seen = [], [], []
+    sample = sorted(((r["l"], r["t"]) for r in rows.where(draw).select("l", "t").distinct().collect()), key=lambda x: (x[0], x[1]))
+    owner, cents, points = [], [], []
     for k, lang in enumerate(languages):
         grams = [g for g in (codes(t, config) for l, t in sample if l == lang) if len(g)]
         if not grams:
             continue
         x = np.stack([vector(g, idf) for g in grams])
-        found, cos = _spherical_kmeans(x, config)
+        found = _spherical_kmeans(x, config)
         owner += [k] * len(found)
         cents.append(found)
-        seen += [(length_class(len(g)), c) for g, c in zip(grams, cos, strict=True)]
+        points.append((k, [length_class(len(g)) for g in grams], x))
     if not cents:
         return LangIdModel(config, [], np.zeros(0, np.int64), idf, np.zeros((dims, 0), np.float32))
-    return LangIdModel(config, languages, np.array(owner), idf, np.concatenate(cents).T.copy(), _floors(seen, config))
+    every, of = np.concatenate(cents).T.copy(), np.array(owner)
+    own, foreign = [], []
+    for k, lengths, x in points:
+        cos = x @ every
+        own += zip(lengths, cos[:, of == k].max(1).tolist(), strict=True)
+        if len(points) > 1:
+            foreign += zip(lengths, cos[:, of != k].max(1).tolist(), strict=True)
+    return LangIdModel(config, languages, of, idf, every, _floors(own, config, foreign))
 
 
 def _document_frequencies(rows: DataFrame, config: LangIdConfig) -> tuple[np.ndarray, int]:
@@ -132,8 +153,21 @@ def _document_frequencies(rows: DataFrame, config: LangIdConfig) -> tuple[np.nda
     return out, total
 
 
-def _spherical_kmeans(x: np.ndarray, config: LangIdConfig) -> tuple[np.ndarray, np.ndarray]:
-    """Centroids by farthest-first start, and each row's cosine with its nearest one."""
+def _spherical_kmeans(x: np.ndarray, config: LangIdConfig) -> np.ndarray:
+    """Centroids by farthest-first start. Rows of clusters too small for a centroid are put aside
+    and the rest is clustered again, until none is too small."""
+    for _ in range(config.rounds):
+        cents = _clusters(x, config)
+        near = np.argmax(x @ cents.T, 1)
+        held = np.bincount(near, minlength=len(cents))
+        enough = (held >= config.least_share * len(x)) | (held == held.max())
+        if enough.all():
+            break
+        x = x[enough[near]]
+    return cents[enough]
+
+
+def _clusters(x: np.ndarray, config: LangIdConfig) -> np.ndarray:
     mean = x.mean(0)
     picks = [int(np.argmax(x @ mean))]
     while len(picks) < min(config.centroids, len(x)):
@@ -143,18 +177,26 @@ def _spherical_kmeans(x: np.ndarray, config: LangIdConfig) -> tuple[np.ndarray,
         near = np.argmax(x @ cents.T, 1)
         sums = [x[near == k].sum(0) for k in range(len(cents)) if (near == k).any()]
         cents = np.stack([s / max(1e-9, np.linalg.norm(s)) for s in sums])
-    return cents.astype(np.float32), (x @ cents.T).max(1)
+    return cents.astype(np.float32)
 
 
-def _floors(seen: list[tuple[int, float]], config: LangIdConfig) -> list[float]:
-    """Least accepted cosine by length class: a share of the low tail of the training texts of that
-    class. A class with few texts takes the floor of the nearest class that has enough, the shorter of two."""
+def _floors(own: list[tuple[int, float]], config: LangIdConfig, foreign: list[tuple[int, float]] = ()) -> list[float]:
+    """Least accepted cosine by length class: the geometric mean of the low tail of the training texts
+    of that class and the high tail of those compared with other languages only, but never above nine tenths of the first; without
+    such, a share of the first. A class with few texts takes the floor of the nearest class that has enough, the shorter of two."""
     by_class: dict[int, list[float]] = {}
-    for k, c in seen:
-        by_class.setdefault(k, []).append(c)
-    known = {k: config.slack * float(np.quantile(v, 0.01)) for k, v in by_class.items() if len(v) >= 20}
+    away: dict[int, list[float]] = {}
+    for seen, into in ((own, by_class), (foreign, away)):
+        for k, c in seen:
+            into.setdefault(k, []).append(c)
+    known = {}
+    for k, v in by_class.items():
+        if len(v) >= 20:
+            low = float(np.quantile(v, config.own_tail))
+            high = float(np.quantile(away[k], 1 - config.foreign_tail)) if k in away else config.slack**2 * low
+            known[k] = min(0.9 * low, float(np.sqrt(max(0.0, low * high))))
     if not known:
-        return [config.slack * min(c for _, c in seen)] * (max(by_class) + 1)
+        return [config.slack * min(c for _, c in own)] * (max(by_class) + 1)
     return [known[min(known, key=lambda j: (abs(j - k), j))] for k in range(max(by_class) + 1)]
 
 
