@@ -268,6 +268,48 @@ def test_mix(docs, empty, rows):
     assert Counter({r["doc_id"]: r["count"] for r in mixed if r["doc_id"] is not None}) == Counter({k: v for k, v in drawn.items() if v and k is not None})
 
 
+def _fill(sizes):
+    """Targets by bisecting for the level at which the shares use up 150 % of all words."""
+    goal, lo, hi = 1.5 * sum(sizes), 0.0, 1e12
+    weigh = lambda x: [min(2.0 * n, x * (5, 2, 1)[k % 3]) for k, n in enumerate(sizes)]
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(weigh(mid)) < goal else (lo, mid)
+    return weigh(hi)
+
+
+@pytest.mark.parametrize("config", [mixing.MixConfig(), mixing.MixConfig(shards=5, groups=3, broadcast_rows=4, block_rows=4, part_words=500)])
+def test_mix_of_many_sources_and_copies(spark, config):
+    r = random.Random(6)
+    data = [(k, prose(EN, r.randint(0, 60)), None, f"s{r.randint(0, 12):02d}" if k % 3 else "hot", k) for k in range(700)]
+    data += [(5000, "one two three", None, "copies", 7)] * 400 + [(None, "", None, None, 0)] * 30 + [(None, "w " * 5, None, None, 0)] * 20
+    df = spark.createDataFrame(data, DOCS).repartition(6).withColumn("mix_shard", F.lit("clash"))
+    got = mixing.plan(df, config=config).collect()
+    assert len(got) == len(data)
+    sizes, largest = Counter(), Counter()
+    for _, t, _, src, _ in data:
+        n = len(t.split())
+        sizes[src] += n
+        largest[src] = max(largest[src], n)
+    names = sorted(sizes, key=lambda x: (x is None, x or ""))
+    goal = dict(zip(names, _fill([sizes[n] for n in names]), strict=True))
+    taken, shards = Counter(), Counter()
+    for x in got:
+        taken[x["source"]] += x["size"] * len(x["draws"])
+        shards.update(d["shard"] for d in x["draws"])
+        assert len(x["draws"]) <= 2 and len({d["pass"] for d in x["draws"]}) == len(x["draws"])
+        assert x["source_size"] == sizes[x["source"]] and x["target"] == pytest.approx(goal[x["source"]], abs=1e-3)
+    assert all(abs(taken[n] - goal[n]) <= largest[n] + 1 for n in names)
+    assert set(shards) == set(range(config.shards))
+    key = lambda x: (x["doc_id"] or -1, x["source"] or "", x["size"], str(x["draws"]))
+    assert sorted(map(key, mixing.plan(df.repartition(3), config=config).collect())) == sorted(map(key, got))
+    mixed = mixing.mix(df, config=config)
+    places = Counter((x["doc_id"], d["shard"], d["place"]) for x in got for d in x["draws"])
+    assert Counter((x["doc_id"], x["mix_shard"], x["mix_place"]) for x in mixed.collect()) == places
+    parts = max(1, -(-sum(taken.values()) // (config.shards * config.part_words)))
+    assert mixed.rdd.getNumPartitions() == config.shards * parts
+
+
 def test_targets_and_split():
     assert mixing.targets([100, 100, 100]) == pytest.approx([200, 500 / 3, 250 / 3])
     assert mixing.targets([]) == [] and mixing.targets([0, 10]) == pytest.approx([0, 15])
