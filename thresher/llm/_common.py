@@ -42,6 +42,25 @@ def materialise(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A table of at most so many rows is broadcast; what is larger is joined by shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, n_col: str, total: int, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` joined with ``table`` (one row a non-null ``key``; ``n_col`` counts the rows that have it, ``total`` in all).
+
+    A small table is broadcast. Of a larger one only keys that hold over 1/4096 of all rows are, so
+    that no key that is dealt out is hot; the others meet their rows by shuffle."""
+    if table.count() <= most:
+        return rows.join(F.broadcast(table), key, how)
+    edge = total / 4096
+    hot = F.broadcast(table.where(F.col(n_col) > edge))
+    names = F.broadcast(table.where(F.col(n_col) > edge).select(key))
+    met = rows.join(hot, key)
+    rest = rows.join(names, key, "left_anti").join(table.where(F.col(n_col) <= edge), key, how)
+    return met.unionByName(rest.select(met.columns))
+
+
 def drop_scratch(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder through Spark's own file system layer."""
     jvm = spark._jvm

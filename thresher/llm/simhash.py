@@ -9,11 +9,17 @@ cannot rule out. A shard holds its part in a local vantage-point tree over all
 64 bits, skips subtrees that already belong to the query's component, and
 returns a star of links per local component instead of pairs. Links are then
 contracted to components by alternating large-star and small-star steps, with
-a durable write after each.
+a durable write after each. The sample grows with the shards; a shard that a
+ball of close fingerprints overfills is cut into blocks that every asking
+fingerprint visits. Each level of a dealing tree sends those near its border both ways, so
+what is dealt grows faster than the fingerprints (about as n to the power 1.36).
 
 Defined cases: null or wordless text has fingerprint zero and links like any
 other; a null document id takes part in linking but is never a component's
-name unless all its members are null; repeated rows give repeated rows.
+name unless all its members are null; repeated rows give repeated rows (and
+``deduplicate`` keeps one of them); texts of any length are read whole; an empty table gives
+an empty one; ties go to the least id, then the least hash of the row; an
+input column named like an output column is not read.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import arrow_column, materialise, texts, with_fields
+from ._common import BROADCAST_ROWS, arrow_column, join_hot, materialise, texts
 
 
 @dataclass(frozen=True)
@@ -34,8 +40,9 @@ class SimHashConfig:
     shingle: int = 3
     seed: int = 42
     radius: int = 3
-    sample: int = 20_000  # fingerprints that shape the two dealing trees
-    shard_rows: int = 20_000  # fingerprints that a shard should hold
+    sample: int = 20_000  # fingerprints, at least, that shape the two dealing trees
+    sample_rows: int = 4  # for each shard
+    shard_rows: int = 100_000  # fingerprints that a shard should hold; four times as many cut it into blocks
     leaf: int = 256
 
 
@@ -197,10 +204,11 @@ def links(fps: DataFrame, config: SimHashConfig = SimHashConfig()) -> DataFrame:
     pairs within the radius. ``fps`` has one distinct non-null long column ``fp``."""
     spark = fps.sparkSession
     n = fps.count()
-    keep = min(1.0, config.sample / max(1, n))
-    picked = [r["fp"] for r in fps.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(keep * (1 << 30)) + 1).limit(4 * config.sample).collect()]
-    sample = np.sort(np.array(picked, np.int64).view(np.uint64)) if picked else np.zeros(0, np.uint64)
     shards = max(1, -(-n // config.shard_rows), min(n // 500, 2 * spark.sparkContext.defaultParallelism))
+    size = max(config.sample, config.sample_rows * shards)
+    keep = min(1.0, size / max(1, n))
+    picked = [r["fp"] for r in fps.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(keep * (1 << 30)) + 1).limit(4 * size).collect()]
+    sample = np.sort(np.array(picked, np.int64).view(np.uint64)) if picked else np.zeros(0, np.uint64)
     held = spark.sparkContext.broadcast([DealTree(sample, shift, shards, config.radius // 2) for shift in (0, 32)])
 
     def deal(batches):
@@ -215,8 +223,16 @@ def links(fps: DataFrame, config: SimHashConfig = SimHashConfig()) -> DataFrame:
         a, b = local_links(fp, home, config.radius, config.leaf)
         return pa.table({"a": pa.array(a.view(np.int64), pa.int64()), "b": pa.array(b.view(np.int64), pa.int64())})
 
-    dealt = fps.mapInArrow(deal, "shard long, fp long, home boolean")
-    return dealt.groupBy("shard").applyInArrow(within, "a long, b long")
+    dealt = materialise(fps.mapInArrow(deal, "shard long, fp long, home boolean"), "dealt")
+    # In a shard that is too full every block holds a part and is asked by all, so that no pair is lost.
+    full = dealt.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > 4 * config.shard_rows).collect()
+    blocks = F.lit(1)
+    for r in full:
+        blocks = F.when(F.col("shard") == r["shard"], F.lit(-(-r["n"] // (2 * config.shard_rows)))).otherwise(blocks)
+    cut = dealt.withColumn("m", blocks.cast("long"))
+    cut = cut.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    cut = cut.withColumn("home", F.col("home") & (F.pmod(F.xxhash64("fp"), F.col("m")) == F.col("block")))
+    return cut.select("shard", "block", "fp", "home").groupBy("shard", "block").applyInArrow(within, "a long, b long")
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -225,11 +241,13 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     seen = None
     while True:
+        n = now.count()
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = join_hot(both, least, "a", "n", 2 * n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = materialise(large, "links")
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = join_hot(large, low, "a", "n", n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
         now = materialise(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_000_007).alias("s"), F.countDistinct("a").alias("d")).first()
         if tuple(state) == seen:
@@ -238,30 +256,48 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, config: SimHashConfig) -> tuple[DataFrame, DataFrame]:
-    """(id, h, fp) of every row, and (fp, component_id, rep) of every fingerprint; rep is the
-    (id, h) of the row that stands for the component. h hashes the whole row."""
+    """(id, h, fp) of every row, and (fp, n, component_id, rep) of every fingerprint, n counting its rows; rep is the
+    (null id, id, h) of the row that stands for the component. h hashes the whole row."""
     content = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     base = materialise(fingerprints(docs.select(F.col(id_col).alias("id"), content.alias("h"), F.col(text_col).alias("t")), "t", config).select("id", "h", "fp"), "fps")
-    first = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "h")))
-    groups = materialise(base.groupBy("fp").agg(first.alias("rep")), "fpgroups")
-    roots = components(docs.sparkSession, links(groups.select("fp"), config))
-    named = groups.join(roots, groups.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    by_root = named.groupBy("root").agg(F.min("rep").alias("rep"))
-    return base, named.select("fp", "root").join(by_root, "root").select("fp", F.col("rep.id").alias("component_id"), "rep")
+    groups = materialise(base.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("rep"), F.count("*").alias("n")), "fpgroups")
+    roots = materialise(components(docs.sparkSession, links(groups.select("fp"), config)), "roots")
+    # Fingerprints without a link are components of their own; only the others are grouped by root.
+    alone = groups.join(roots.select(F.col("node").alias("fp")).union(roots.select(F.col("root").alias("fp"))).distinct(), "fp", "left_anti")
+    linked = groups.join(roots, groups.fp == roots.node, "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root"))
+    linked = linked.join(roots.select("root").distinct(), "root", "left_semi")
+    by_root = linked.groupBy("root").agg(F.min("rep").alias("best"), F.count("*").alias("m"))
+    met = join_hot(linked, materialise(by_root, "reps"), "root", "m", groups.count())
+    named = met.select("fp", "n", F.col("best").alias("rep")).unionByName(alone.select("fp", "n", "rep"))
+    return base, materialise(named.select("fp", "n", F.col("rep.id").alias("component_id"), "rep"), "classes")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: SimHashConfig = SimHashConfig()) -> DataFrame:
     """id, fingerprint (16 hex digits) and component_id (least id reachable) of every row."""
     base, classes = _classes(docs, id_col, text_col, config)
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return base.join(classes, "fp").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
+    named = join_hot(base, classes.select("fp", "n", "component_id"), "fp", "n", base.count())
+    return named.select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: SimHashConfig = SimHashConfig()) -> DataFrame:
-    """One row of each component: its least id and, of rows that repeat that id, the one with
-    the least row hash. Rows with null ids are all kept."""
-    _, classes = _classes(docs, id_col, text_col, config)
-    reps = classes.where("rep IS NOT NULL").select(F.col("rep.id").alias("__id"), F.col("rep.h").alias("__h")).distinct()
+    """One row of each component: its least id (a null one only where no row has any) and, of rows that repeat
+    that id, one with the least row hash. Texts stay where they are unless more rows go than may be broadcast."""
+    base, classes = _classes(docs, id_col, text_col, config)
+    named = join_hot(base, classes.select("fp", "n", F.col("rep.id").alias("i"), F.col("rep.h").alias("k")), "fp", "n", base.count())
+    stays = F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("k"))
+    gone = materialise(named.where(~stays).select("id", "h").distinct(), "gone")
+    twice = named.where(stays).groupBy("id", "h").count().where("count > 1").select("id", "h")
+    twice = materialise(twice, "twice")
     rows = docs.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    kept = rows.join(reps, (F.col(id_col) == F.col("__id")) & (F.col("__row") == F.col("__h")), "left_semi").dropDuplicates([id_col, "__row"])
-    return kept.unionByName(rows.where(F.col(id_col).isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])
+    sized = lambda t: F.broadcast(t) if t.count() <= BROADCAST_ROWS else t
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = rows.join(sized(gone.select(F.col("id").alias("__i"), F.col("h").alias("__h"))), F.col(f"`{id_col}`").eqNullSafe(F.col("__i")) & (F.col("__row") == F.col("__h")), "left_anti")
+    if twice.isEmpty():
+        return kept.select(*columns)
+    pairs = twice.select(F.col("id").alias("__i"), F.col("h").alias("__h"))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__i")) & (F.col("__row") == F.col("__h"))
+    once = kept.join(sized(pairs), same, "left_anti").select(*columns)
+    # Rows alike in all columns: each task keeps one before any is moved.
+    many = kept.join(sized(pairs), same, "left_semi").select("__row", F.struct(*columns).alias("__all"))
+    return once.unionByName(many.groupBy("__row").agg(F.any_value("__all").alias("__all")).select("__all.*"))
