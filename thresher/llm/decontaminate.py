@@ -11,12 +11,16 @@ on its size, and a passage that many documents share can't hide itself.
 
 Documents meet items by a lookup of seeds; items are taken in groups of at most
 ``group_seeds`` words, one pass each over whole texts, so that what is
-broadcast stays bounded. Around the hits, as far as an alignment can reach, the
+broadcast stays bounded (an item with more words is a group of its own); the driver streams items and holds one group
+at a time. Around the hits, as far as an alignment can reach, the
 passage is aligned with the item word by word; pairs whose score reaches
 ``least`` of the item's own score are returned.
 
-Defined cases: null and wordless texts and items match nothing; items of one or
-two words are one seed; repeated rows repeat their pairs.
+Defined cases: null and wordless texts and items match nothing; an empty table on either
+side gives no pair; items of one or two words are one seed; repeated rows repeat their
+pairs; item ids may be of any type that casts to text and back; of equally good spans
+the first is returned; texts of any length are read whole; other columns are not read by ``leaks``, and
+``decontaminate`` keeps them all, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -183,10 +188,9 @@ class Seeds:
         return sorted(out, key=lambda r: (r[0] is None, r[0]))
 
 
-FOUND = "array<struct<item_id:long,score:int,normalised:double,doc_start:int,doc_end:int,item_start:int,item_end:int>>"
-
-
-_KIND = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.int32()), ("normalised", pa.float64()), ("doc_start", pa.int32()), ("doc_end", pa.int32()), ("item_start", pa.int32()), ("item_end", pa.int32())]))
+_FIELDS = {"item_id": pa.string(), "score": pa.int32(), "normalised": pa.float64(), "doc_start": pa.int32(), "doc_end": pa.int32(), "item_start": pa.int32(), "item_end": pa.int32()}
+_KIND = pa.list_(pa.struct(list(_FIELDS.items())))
+FOUND = "array<struct<item_id:string,score:int,normalised:double,doc_start:int,doc_end:int,item_start:int,item_end:int>>"
 
 
 def _matcher(held):
@@ -198,35 +202,43 @@ def _matcher(held):
     return column
 
 
+def _groups(benchmark: DataFrame, item_col: str, item_text: str, config: AlignConfig) -> Iterator[Seeds]:
+    """Seeds of the items with words, in the order of their ids, a bounded group at a time."""
+    group, size = [], 0
+    ordered = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).alias("t")).orderBy(F.col(item_col).asc_nulls_last(), "t")
+    for r in ordered.toLocalIterator():
+        ws = words(r["t"])
+        if not ws:
+            continue
+        if group and size + len(ws) > config.group_seeds:
+            yield Seeds(group, config)
+            group, size = [], 0
+        group.append((r["i"], ws))
+        size += len(ws)
+    if group:
+        yield Seeds(group, config)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", config: AlignConfig = AlignConfig()) -> DataFrame:
     """One row a (document, item) pair that aligns: id, item_id, score, normalised, word spans (ends exclusive)."""
-    items = sorted(((r[0], words(r[1])) for r in benchmark.select(item_col, item_text).collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-    items = [x for x in items if x[1]]
-    spark = docs.sparkSession
-    if not items:
-        return docs.where("false").select(F.col(id_col), *[F.lit(None).cast(t).alias(n) for n, t in (x.split(":") for x in FOUND[13:-2].split(","))])
-    groups: list[list[tuple]] = [[]]
-    size = 0
-    for x in items:
-        if size + len(x[1]) > config.group_seeds and groups[-1]:
-            groups.append([])
-            size = 0
-        groups[-1].append(x)
-        size += len(x[1])
+    spark, item_type = docs.sparkSession, benchmark.schema[item_col].dataType
     parts = []
-    for group in groups:
-        held = spark.sparkContext.broadcast(Seeds(group, config))
-        parts.append(docs.select(F.col(id_col), F.explode(arrow_column(_matcher(held), FOUND, text_col)).alias("m")).select(id_col, "m.*"))
+    for seeds in _groups(benchmark, item_col, item_text, config):
+        held = spark.sparkContext.broadcast(seeds)
+        parts.append(docs.select(F.col(id_col).alias("__id"), F.explode(arrow_column(_matcher(held), FOUND, text_col)).alias("m")))
+    if not parts:
+        parts.append(docs.where("false").select(F.col(id_col).alias("__id"), F.explode(F.array().cast(FOUND)).alias("m")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)
-    return out
+    rest = [F.col("m")[n].alias(n) for n in _FIELDS if n != "item_id"]
+    return out.select(F.col("__id").alias(id_col), F.col("m.item_id").cast(item_type).alias("item_id"), *rest)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: AlignConfig = AlignConfig()) -> DataFrame:
-    """``docs`` without the documents that align with a test item; rows with null ids are judged by their text too."""
-    spark, marked = docs.sparkSession, "__leaks"
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
-    keyed = docs.withColumn(marked, key)
-    bad = leaks(keyed.select(marked, text_col), benchmark, marked, text_col, config=config).select(marked).distinct()
-    return keyed.join(bad, marked, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", config: AlignConfig = AlignConfig()) -> DataFrame:
+    """``docs`` without the documents that align with a test item; each row is judged by its own text, and nothing is shuffled."""
+    kept = docs
+    for seeds in _groups(benchmark, item_col, item_text, config):
+        held = docs.sparkSession.sparkContext.broadcast(seeds)
+        kept = kept.withColumn("__leaks", F.size(arrow_column(_matcher(held), FOUND, text_col))).where("__leaks = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept
