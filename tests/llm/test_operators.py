@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from thresher.llm import decontaminate, langid, licences, mixing, registry, rollups, simhash, tiff, tokens, toxicity, warc
-from thresher.llm._common import held_out, shared_dir
+from thresher.llm._common import held_out, join_hot, shared_dir
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 R = random.Random(3)
@@ -178,6 +178,49 @@ def test_dealing_loses_no_pair():
     assert met.all()
 
 
+def test_overfull_shards_and_hot_fingerprints(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = [int(v) for v in rng.integers(0, 1 << 62, 150)]
+    for c in x[:4]:
+        for _ in range(60):
+            y = c
+            for b in rng.integers(0, 64, rng.integers(1, 4)):
+                y ^= 1 << int(b)
+            x.append(y)
+    fps = sorted(set(x))
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    df = spark.createDataFrame([(signed(v),) for v in fps], "fp long")
+    links = simhash.links(df, simhash.SimHashConfig(shard_rows=8, sample=40)).collect()
+    label = {f: f for f in map(signed, fps)}
+
+    def root(k):
+        while label[k] != k:
+            k = label[k]
+        return k
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        label[max(a, b)] = min(a, b)
+    groups = Counter(tuple(sorted(signed(v) for v in fps if root(signed(v)) == r)) for r in {root(signed(v)) for v in fps})
+    want = _components(fps, fps)
+    assert groups == Counter(tuple(sorted(signed(v) for v, w in zip(fps, want, strict=True) if w == r)) for r in set(want))
+    # The ways beyond the broadcast bound: hot keys by broadcast, the rest by shuffle.
+    table = spark.createDataFrame([(k, 9000 if k == 1 else 1, k * k) for k in range(50)], "k int, n int, v int")
+    rows = spark.createDataFrame([(1,)] * 9000 + [(k,) for k in range(60)], "k int")
+    for how, n in (("inner", 9050), ("left", 9060)):
+        met = join_hot(rows, table, "k", "n", 9060, how, most=10)
+        assert met.count() == n and met.where("v IS NULL").count() == n - 9050 and met.where("k = 1 AND v = 1").count() == 9001
+
+
+def test_deduplicate_null_ids_and_repeats(spark, empty):
+    a, b = prose(EN, 40), prose(FR, 40)
+    data = [(None, a, "x"), (None, a, "x"), (4, a, "x"), (4, a, "x"), (4, a, "y"), (None, b, "x"), (None, b, "x")]
+    df = spark.createDataFrame(data, "doc_id long, text string, component_id string")
+    got = simhash.deduplicate(df).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted([(4, a), (None, b)], key=str)
+    assert simhash.deduplicate(empty).count() == 0
+
+
 def test_deduplicate(docs, rows):
     kept = simhash.deduplicate(docs)
     ids = [r["doc_id"] for r in kept.collect()]
@@ -380,6 +423,19 @@ def test_leaks_equal_brute_force(spark):
     assert all((at[k, e, "replaced"], k) in want for k in (4, 5, 6) for e in (4, 5, 6)) and (at[4, 3, "replaced"], 4) in want
 
 
+@pytest.mark.parametrize("swap", [6, 5])
+def test_leaks_recall_of_edited_copies(spark, swap):
+    r = random.Random(swap)
+    vocab = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "klmnrst"]
+    items = [[r.choice(vocab) for _ in range(r.randint(20, 60))] for _ in range(40)]
+    edit = lambda ws: [x for k, w in enumerate(ws) for x in ([] if k % (2 * swap) == 3 else ["zz"] if k % (2 * swap) == 9 else [w])]
+    noise = lambda: [r.choice(vocab) for _ in range(80)]
+    docs = [(k, " ".join(noise() + edit(ws) + noise())) for k, ws in enumerate(items)] + [(100 + k, " ".join(noise() + noise())) for k in range(40)]
+    bench = spark.createDataFrame([(f"item-{k}", " ".join(ws)) for k, ws in enumerate(items)], "item_id string, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {(k, f"item-{k}") for k in range(40)}
+
+
 def test_leaks(spark, rows, docs):
     # Corpus words come and go in every passage: items need words of their own to be rare.
     item = lambda k: " ".join(f"{R.choice(EN)}{R.choice('abcdefghij')}{R.choice('klmnop')}{k}" for _ in range(30))
@@ -395,7 +451,10 @@ def test_leaks(spark, rows, docs):
     small = decontaminate.AlignConfig(group_seeds=40)
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(df, bench, config=small).collect()} == set(got)
     assert decontaminate.leaks(df, bench.where("false")).count() == 0
+    assert decontaminate.decontaminate(df, bench, config=small).count() == df.count() - 2
+    assert decontaminate.decontaminate(df, bench.where("false")).count() == df.count() and decontaminate.leaks(df.where("false"), bench).count() == 0
     kept = decontaminate.decontaminate(df, bench)
+    assert "Exchange" not in kept._jdf.queryExecution().executedPlan().toString().split("Scan ExistingRDD")[0].replace("BroadcastExchange", "")
     assert kept.count() == df.count() - 2 and kept.columns == df.columns
 
 

@@ -10,8 +10,9 @@ chosen by how much their rate among the toxic exceeds or falls short of that
 among the unlabelled ("words" below means all such marks). Every text is scored whole.
 
 Defined cases: null or wordless text scores as one without any known word; no
-positive or no unlabelled rows gives the prior as everyone's score; repeated
-rows score alike.
+positive or no unlabelled rows, or empty tables, give the prior as everyone's score; repeated
+rows score alike and count once in a sample; of several labels of one id the largest counts; texts of any length are
+read whole; ties between marks go to the lower slot; input columns named like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -86,7 +87,7 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     n = docs.count()
     pick = lambda share: F.pmod(F.xxhash64(F.col(id_col), F.lit(config.seed)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
     toxic = marks.where("y = 1").select(F.col("__i").alias(id_col))
-    p_rows = docs.where(F.col(text_col).isNotNull()).join(toxic.where(pick(config.positives / max(1, facts["p"] or 0))), id_col, "left_semi").select(text_col).limit(2 * config.positives).collect()
+    p_rows = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(toxic.where(pick(config.positives / max(1, facts["p"] or 0))).limit(2 * config.positives)), id_col, "left_semi").select(text_col).limit(2 * config.positives).collect()
     u_rows = docs.where(F.col(text_col).isNotNull() & pick(config.unlabelled / max(1, n))).select(text_col).limit(2 * config.unlabelled).collect()
     # A text that many rows repeat counts once in either sample.
     p, u = (sorted({r[0] for r in rows}) for rows in (p_rows, u_rows))
