@@ -388,6 +388,41 @@ def test_licences_wrapped(spark, docs, width):
     assert got == Counter([*((k, f) for k, (f, _) in enumerate(named.values())), (101, "MIT")])
 
 
+def test_licences_whole_wrapped_and_reworded(spark, docs, tmp_path):
+    model = licences.fit(docs)
+    r = random.Random(2)
+    wrap = lambda t, n: textwrap.wrap(t, n, break_long_words=False, break_on_hyphens=False)
+
+    def reword(text):
+        w = text.split()
+        for _ in range(len(w) // 15):
+            k = r.randrange(len(w))
+            w[k : k + 1] = r.choice([[], ["notably"], [w[k], "hereby"]])
+        return " ".join(w)
+
+    data, want = [], []
+    for k, (family, t) in enumerate(licences.TEMPLATES):
+        data += [(k, "\n".join(["some lines", "", *wrap(t, 40), "", prose(EN, 50)])), (1000 + k, prose(EN, 60) + "\n" + "\n# ".join(wrap(reword(t), 60)) + "\n" + prose(EN, 60))]
+        want += [(k, family), (1000 + k, family)]
+    data += [(5000 + k, prose(EN, 200) + f"\n{d}\n" + prose(EN, 30)) for k, d in enumerate(licences.DECOYS)]
+    data += [(None, "x\n\nReleased under the MIT License."), (None, "nothing"), (7000, "a " * 40_000 + licences.TEMPLATES[0][1] + " b" * 40_000), (7001, None), (7002, "")]
+    df = spark.createDataFrame(data, "doc_id long, text string").withColumn("family", F.lit("clash"))
+    found = licences.scan(df, model).collect()
+    got = {(x["doc_id"], x["family"]) for x in found}
+    whole, edited = [x in got for x in want[::2]], [x in got for x in want[1::2]]
+    assert all(whole) and sum(edited) >= 0.9 * len(edited), (sum(whole), sum(edited), len(edited))
+    assert {x["doc_id"] for x in found} <= {None, 7000, *range(2000)} and (None, "MIT") in got and (7000, "MIT") in got
+    assert {x["paragraph"] for x in found if x["doc_id"] in range(1000)} == {2} and {x["paragraph"] for x in found if x["doc_id"] == 7000} == {0}
+    # Calibration: the stated probability is near the share that is right.
+    truth = dict(want)
+    judged = [(x["probability"], truth[x["doc_id"]] == x["family"]) for x in found if x["doc_id"] in truth]
+    assert abs(np.mean([p for p, _ in judged]) - np.mean([ok for _, ok in judged])) < 0.1
+    assert licences.scan(df.where("false"), licences.fit(df.where("false"))).count() == 0
+    df.drop("family").withColumn("family", F.lit("clash")).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {x["doc_id"]: x for x in registry.op7_licences(spark, str(tmp_path)).collect()}
+    assert len(rows) == len({d for d, _ in data}) and rows[None]["families"] == "MIT" and rows[7002]["families"] is None and rows[7002]["paragraphs"] == 0
+
+
 def test_licences_underscores_and_sample(spark, docs):
     model = licences.fit(docs)
     odd = spark.createDataFrame([(1, "xx Released_under_the_MIT_License_ yy")], "doc_id long, text string")

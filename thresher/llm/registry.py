@@ -65,8 +65,9 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = licences.scan(docs, licences.fit(docs))
-    by_doc = found.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("family")), "|").alias("families"), F.count("*").alias("paragraphs"), F.max("probability").alias("probability"), F.max("coverage").alias("coverage"))
-    return docs.select("doc_id").distinct().join(by_doc, "doc_id", "left").select("doc_id", "families", F.coalesce("paragraphs", F.lit(0)).alias("paragraphs"), "probability", "coverage")
+    none = docs.select("doc_id", F.lit(None).cast("string").alias("family"), F.lit(None).cast("double").alias("probability"), F.lit(None).cast("double").alias("coverage"))
+    # Every id once, null among them: grouped together, not joined.
+    return none.unionByName(found.select(none.columns)).groupBy("doc_id").agg(F.nullif(F.array_join(F.array_sort(F.collect_set("family")), "|"), F.lit("")).alias("families"), F.count("family").alias("paragraphs"), F.max("probability").alias("probability"), F.max("coverage").alias("coverage"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
