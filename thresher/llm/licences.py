@@ -12,11 +12,11 @@ calibrates them. A prediction counts when a template of the same family and of
 the window's kind confirms it: enough of the template's bigrams occur in the window
 (all of a template of up to three). Windows that overlap and name one family are one find.
 
-Because confirmation needs ``coverage`` of a template's bigrams, a paragraph
-without any of the trigger words (words that touch more than the rest of every
-template's bigrams) can't be confirmed, so only texts and windows with one are
-read further; this drops nothing. Texts are first searched for the triggers' stems by plain
-substring tests. Equal windows are scored once.
+Because confirmation needs ``coverage`` of a template's bigrams, a window
+without any of the seeds (more of every template's bigrams than may be missing)
+can't be confirmed, so only paragraphs and windows with one are
+read further; this drops nothing. Texts are first searched for the beginnings of the seeds' rarer
+words, in one pattern. Equal windows are scored once.
 
 Defined cases: null and empty texts, and an empty table, have no finds; repeated rows repeat
 their finds; rows with a null id are scanned like others; texts of any length are read whole; of equal logits the class
@@ -125,11 +125,13 @@ class LicenceModel:
     bias: np.ndarray
     templates: list[tuple[str, int, list[str]]]  # family, bigrams, the bigrams
     kinds: list[int]  # the window kind of each template
-    triggers: list[str]
+    seeds: list[str]  # word pairs of which every confirmed window has one
+    triggers: list[str]  # their words
 
-    def needed(self, n: int) -> int:
-        """Bigrams of a template of ``n`` that confirm it."""
-        return max(int(np.ceil(self.config.coverage * n - 1e-9)), min(n, 3))
+
+def needed(n: int, coverage: float) -> int:
+    """Bigrams of a template of ``n`` that confirm it."""
+    return max(int(np.ceil(coverage * n - 1e-9)), min(n, 3))
 
 
 def words(text: str) -> list[str]:
@@ -179,20 +181,23 @@ def fit(docs: DataFrame, text_col: str = "text", config: LicenceConfig = Licence
     held = rng.random(len(rows)) < 0.25
     w, b = _train(x[~held], y[~held], len(classes), config)
     temper = min(np.geomspace(0.25, 4, 25), key=lambda t: _loss((x[held] @ w + b) / t, y[held]))
-    listed, kinds, triggers = [], [], set()
+    listed, kinds, seeds, rare = [], [], set(), set()
     for f, t in templates:
         pairs = sorted({f"{a} {b}" for a, b in zip(t, t[1:], strict=False)})
         listed.append((f, len(pairs), pairs))
         kinds.append(next(k for k, n in enumerate(WINDOWS) if 2 * len(t) <= n))
-        # Long words first, those that other templates need anyway before all: they are rare in other text.
-        ranked = sorted(set(t), key=lambda v: (v in _STOP or len(v) < 5, v not in triggers, -sum(v in p.split() for p in pairs), -len(v), v))
-        mine: set[str] = set()
-        for v in ranked:
-            if sum(bool(mine & set(p.split())) for p in pairs) > (1 - config.coverage) * len(pairs):
-                break
-            mine.add(v)
-        triggers |= mine
-    return LicenceModel(config, classes, vocab, w / temper, b / temper, listed, kinds, sorted(triggers))
+        # So many pairs that one of them is among any that confirm the template: those with words that
+        # other templates' seeds have, then with long words, as these are rare in other text.
+        ranked = sorted(pairs, key=lambda p: (_rarer(p) not in rare, -len(_rarer(p)), p))
+        for p in ranked[: len(pairs) - needed(len(pairs), config.coverage) + 1]:
+            seeds.add(p)
+            rare.add(_rarer(p))
+    return LicenceModel(config, classes, vocab, w / temper, b / temper, listed, kinds, sorted(seeds), sorted({x for p in seeds for x in p.split()}))
+
+
+def _rarer(pair: str) -> str:
+    """The word of a pair that less text has: no stop word, and the longer one."""
+    return max(pair.split(), key=lambda v: (v not in _STOP, len(v), v))
 
 
 def _loss(z: np.ndarray, y: np.ndarray) -> float:
@@ -215,13 +220,21 @@ def _train(x: np.ndarray, y: np.ndarray, k: int, config: LicenceConfig) -> tuple
     return w, b
 
 
-def _stems(triggers: list[str]) -> list[str]:
-    """Substrings of which every text with a trigger has one: shared beginnings of six letters, or the trigger."""
-    return sorted({t[:6] for t in triggers})
+def _beginnings(model: LicenceModel) -> str:
+    """A pattern that every lower-case text with a seed has: the first six letters of the rarer word of each, as a
+    tree by letter, so that one look at most places rules all out."""
+    stems = sorted({_rarer(p)[:6] for p in model.seeds})
+
+    def tree(rests: list[str], depth: int) -> str:
+        whole = ["(?![a-z0-9])"] if "" in rests and depth < 6 else [""] if "" in rests else []
+        first = sorted({r[0] for r in rests if r})
+        return "(?:" + "|".join(whole + [c + tree([r[1:] for r in rests if r[:1] == c], depth + 1) for c in first]) + ")"
+
+    return f"(?<![a-z0-9])(?=[{''.join(sorted({x[0] for x in stems}))}])" + tree(stems, 0)
 
 
 def _windows(docs: DataFrame, model: LicenceModel) -> DataFrame:
-    """id, block, kind, start, norm, lines: the windows with a trigger of docs(id, text); norm has their words and lines the line of each."""
+    """id, block, kind, start, norm, lines: the windows with a seed of docs(id, text); norm has their words and lines the line of each."""
     lines = F.split(F.lower("text"), "\n")
     line = lambda x, k: F.transform(F.regexp_extract_all(x, F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.struct(w.alias("w"), k.alias("k")))
     blank = lambda k: F.array(F.struct(F.lit("").alias("w"), k.alias("k")))
@@ -231,7 +244,7 @@ def _windows(docs: DataFrame, model: LicenceModel) -> DataFrame:
     blocks = F.transform(F.sequence(F.lit(1), F.size("bounds") - 1), lambda k: F.struct(F.get("bounds", k - 1).alias("a"), F.get("bounds", k).alias("b")))
     staged = docs.select("id", stream.alias("words")).withColumn("edges", edges).withColumn("bounds", bounds).select("id", "words", F.posexplode(blocks).alias("block", "at")).where("at.b - at.a > 1")
     staged = staged.select("id", "block", F.slice("words", F.col("at.a") + 2, F.col("at.b") - F.col("at.a") - 1).alias("words"))
-    found = "(?:^| )(?:" + "|".join(model.triggers) + ")(?: |$)"
+    found = "(?:^| )(?:" + "|".join(model.seeds) + ")(?: |$)"
     staged = staged.where(F.array_join(F.transform("words", lambda x: x["w"]), " ").rlike(found))
     begins = lambda n: F.sequence(F.lit(0), F.greatest(F.size("words") - n // 2 - 1, F.lit(0)), F.lit(n // 2))
     view = lambda k, n: F.transform(begins(n), lambda s: F.struct(F.lit(k).alias("kind"), s.alias("start"), F.slice("words", s + 1, n).alias("part")))
@@ -245,10 +258,7 @@ def scan(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col:
     """One row a licence notice: id, paragraph (the line, from 0, where the first of the template's word pairs stands), family, probability,
     template (number in TEMPLATES), coverage."""
     spark = docs.sparkSession
-    low = F.lower(F.col(text_col))
-    some = F.lit(False)
-    for stem in _stems(model.triggers):
-        some = some | (low.contains(stem) & low.rlike(f"(?<![a-z0-9]){stem}(?![a-z0-9])") if len(stem) < 5 else low.contains(stem))
+    some = F.lower(F.col(text_col)).rlike(_beginnings(model))
     # Written once, since windows are read twice: to be scored without repeats, and to get their scores.
     hits = materialise(_windows(docs.where(some).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), model), "licence-windows")
     w = F.split("norm", " ")
@@ -260,7 +270,7 @@ def scan(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col:
     sums = [F.sum(F.col("w")[c]).alias(f"w{c}") for c in range(k)] + [F.sum(F.col("t")[c]).alias(f"t{c}") for c in range(t)]
     summed = each.join(F.broadcast(table), "gram").groupBy("norm", "kind").agg(*sums)
     logits = F.array(*[F.col(f"w{c}") + F.lit(float(model.bias[c])) for c in range(k)])
-    shown = lambda c, n: F.when((F.col("kind") == model.kinds[c]) & (F.col(f"t{c}") >= model.needed(n)), F.col(f"t{c}") / F.lit(float(n)))
+    shown = lambda c, n: F.when((F.col("kind") == model.kinds[c]) & (F.col(f"t{c}") >= needed(n, model.config.coverage)), F.col(f"t{c}") / F.lit(float(n)))
     covered = F.array(*[F.struct(shown(c, n).alias("coverage"), F.lit(-c).alias("n")) for c, (_, n, _) in enumerate(model.templates)])
     z = summed.select("norm", "kind", logits.alias("z"), covered.alias("c")).withColumn("top", F.array_max("z"))
     z = z.withColumn("total", F.aggregate("z", F.lit(0.0), lambda acc, v: acc + F.exp(v - F.col("top"))))
