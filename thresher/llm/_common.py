@@ -42,6 +42,14 @@ def materialise(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_least_hash(docs: DataFrame, text_col: str, rows: int) -> DataFrame:
+    """(h, t) of texts whose hashes lie in the share of all hashes that holds about ``rows`` rows: a draw that
+    is the same in every run and needs neither a sort nor a shuffle."""
+    n = docs.count()
+    edge = (2**64 - 1) * min(n, rows) // max(n, 1) - 2**63
+    return docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t")).where((F.col("h") <= edge) & F.col("t").isNotNull())
+
+
 #: A table of at most so many rows is broadcast; what is larger is joined by shuffle.
 BROADCAST_ROWS = 500_000
 

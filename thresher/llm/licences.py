@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise
+from ._common import by_least_hash, materialise
 
 UNKNOWN = "unknown"
 SALTS = 64
@@ -144,11 +144,11 @@ def grams(w: list[str]) -> set[str]:
 
 def fit(docs: DataFrame, text_col: str = "text", config: LicenceConfig = LicenceConfig()) -> LicenceModel:
     rng = np.random.default_rng(config.seed)
-    h = F.xxhash64(text_col)
-    least = docs.where(F.col(text_col).isNotNull()).select(h.alias("h"), F.col(text_col).alias("t")).orderBy("h").limit(config.corpus_rows)
+    least = by_least_hash(docs, text_col, 2 * config.corpus_rows)
     shown = F.split(F.regexp_replace(F.lower("t"), "[^a-z0-9]+", " "), " ")
     starts = F.transform(F.array(*map(F.lit, range(4))), lambda k: (F.size("w") * k / 4).cast("int") + 1)
-    picked = least.select("h", shown.alias("w")).select("h", F.transform(starts, lambda s: F.array_join(F.slice("w", s, WINDOWS[0]), " ")).alias("p")).collect()
+    picked = least.select("h", shown.alias("w")).select("h", F.transform(starts, lambda s: F.array_join(F.slice("w", s, WINDOWS[0]), " ")).alias("p"))
+    picked = picked.distinct().orderBy("h").limit(config.corpus_rows).collect()
     corpus = [words(p) for r in picked for p in r["p"]]
     templates = [(f, words(t)) for f, t in TEMPLATES]
     known = set().union(*(grams(w) for _, w in templates))

@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import arrow_column, drop_scratch, open_fs, shared_dir
+from ._common import arrow_column, by_least_hash, drop_scratch, open_fs, shared_dir
 
 MAGIC = b"TOKSHRD1"
 _FOOTER = struct.Struct("<QQQB32s8s")
@@ -201,11 +201,7 @@ def train_dictionary(docs: DataFrame, config: TokenConfig, text_col: str = "text
     Longer texts than ``dictionary_row_chars`` don't take part; too few samples give no dictionary."""
     import zstandard as z
 
-    # One pass: texts whose hash falls below a share that holds four times the wanted number.
-    n, most = docs.count(), 4 * config.dictionary_rows
-    edge = (2**64 - 1) * min(n, most) // max(n, 1) - 2**63
-    pick = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t")).where((F.length("t") > 0) & (F.length("t") <= config.dictionary_row_chars))
-    drawn = pick.where(F.col("h") <= edge)
+    drawn = by_least_hash(docs, text_col, 4 * config.dictionary_rows).where((F.length("t") > 0) & (F.length("t") <= config.dictionary_row_chars))
     rows = drawn.groupBy("h").agg(F.min("t").alias("t")).orderBy("h").limit(config.dictionary_rows).collect()
     enc, end = encoder(config.tokenizer, config.width), config.end_id.to_bytes(config.width, "little")
     samples = [enc(r["t"]) + end for r in rows]
