@@ -1,7 +1,9 @@
 """The training-data operators on small tables: brute force, round trips, held-out accuracy and odd input."""
 
+import hashlib
 import io
 import random
+import struct
 import textwrap
 import zlib
 from collections import Counter
@@ -272,15 +274,97 @@ def test_tiff_round_trip(compression, predictor, tile, order):
     assert all(p.pixels == x.tobytes() and (p.height, p.width) == x.shape[:2] for p, x in zip(pages, images, strict=True))
 
 
+def _file(directories, order="<", big=False):
+    """A TIFF of directories, each (tags, stored strips); offsets and counts are filled in."""
+    head = struct.pack(order + "HHHQ", 43, 8, 0, 0) if big else struct.pack(order + "HI", 42, 0)
+    out = bytearray((b"II" if order == "<" else b"MM") + head)
+    link, word = len(out) - (8 if big else 4), "Q" if big else "I"
+    for tags, strips in directories:
+        offsets = []
+        for x in strips:
+            offsets.append(len(out))
+            out += x
+        tags = {**tags, 273: (16 if big else 4, offsets), 279: (4, [len(x) for x in strips])}
+        entries = b""
+        for tag, (kind, values) in sorted(tags.items()):
+            raw = struct.pack(order + {3: "H", 4: "I", 16: "Q"}[kind] * len(values), *values)
+            if len(raw) > struct.calcsize(order + word):
+                at = len(out)
+                out += raw
+                raw = struct.pack(order + word, at)
+            entries += struct.pack(order + "HH" + word, tag, kind, len(values)) + raw.ljust(struct.calcsize(order + word), b"\0")
+        struct.pack_into(order + word, out, link, len(out))
+        out += struct.pack(order + ("Q" if big else "H"), len(tags)) + entries
+        link = len(out)
+        out += bytes(8 if big else 4)
+    return bytes(out)
+
+
+def _tags(w, h, s=1, bits=8, **more):
+    return {256: (4, [w]), 257: (4, [h]), 258: (3, [bits] * s), 277: (3, [s])} | {{"compression": 259, "predictor": 317, "planar": 284, "fill": 266}[k]: (3, [v]) for k, v in more.items()}
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize("big", [False, True])
+def test_tiff_other_forms(order, big):
+    rng = np.random.default_rng(6)
+    wide, rgb, bits = rng.integers(0, 1 << 16, (5, 7), np.uint16), rng.integers(0, 256, (4, 6, 3), np.uint8), rng.integers(0, 4, (3, 9), np.uint8)
+    real = rng.normal(size=(4, 5)).astype(np.float32)
+    steps = np.concatenate([wide[:, :1], wide[:, 1:] - wide[:, :-1]], axis=1).astype(order + "u2")
+    packed = np.packbits(np.concatenate([(bits[:, :, None] >> np.array([1, 0])) & 1], axis=2).reshape(3, 18), axis=1).tobytes()
+    planes = real.view("<u4").view(np.uint8).reshape(4, 5, 4)[:, :, ::-1].transpose(0, 2, 1).reshape(4, 20)
+    diff = np.concatenate([planes[:, :1], planes[:, 1:] - planes[:, :-1]], axis=1)
+    got = tiff.decode(_file([
+        (_tags(7, 5, bits=16, compression=8, predictor=2), [zlib.compress(steps.tobytes())]),
+        (_tags(6, 4, 3, planar=2), [rgb[:, :, k].tobytes() for k in range(3)]),
+        (_tags(9, 3, bits=2, fill=2), [packed.translate(tiff._FLIP)]),
+        (_tags(5, 4, bits=32, compression=8, predictor=3), [zlib.compress(diff.tobytes())]),
+    ], order, big))
+    assert [p.error for p in got] == [None] * 4 and [p.bits for p in got] == [16, 8, 2, 32]
+    assert [p.pixels for p in got] == [wide.astype("<u2").tobytes(), rgb.tobytes(), bits.tobytes(), real.tobytes()]
+
+
+def test_tiff_errors_stay_in_their_directory():
+    one = (_tags(4, 2), [b"abcdefgh"])
+    mixed = _file([one, (_tags(4, 2, compression=7), [b"x"]), (_tags(1 << 31, 1 << 20), [b"x"]), (_tags(1 << 16, 1 << 16, compression=8), [zlib.compress(b"x")]), (_tags(4, 2), [b"short"]), (_tags(0, 2), [b""]), one])
+    rows = tiff.page_rows(mixed)
+    assert [r["page"] for r in rows] == list(range(7)) and [r["error"] is None for r in rows] == [True] + [False] * 5 + [True]
+    assert rows[0]["pixels"] == rows[6]["pixels"] == b"abcdefgh" and "compression 7" in rows[1]["error"]
+    cut = _file([one, one])
+    broken = cut[: len(cut) - 30]
+    assert [(r["page"], r["error"] is None) for r in tiff.page_rows(broken)] == [(0, True), (1, False)]
+    assert [r["page"] for r in tiff.page_rows(b"II" + struct.pack("<HI", 42, 99))] == [-1] and tiff.page_rows(None) == []
+
+
+def test_tiff_query_against_brute_force(spark, rows, tmp_path):
+    rows = [*rows, (9000, "long " * 60_000, None, None, 0)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.op5_tiff(spark, str(tmp_path)).collect()
+    want, forms = Counter(), Counter()
+    for i, t, *_ in rows:
+        raw = (t or "").encode()
+        payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        media = tiff.text_media(t or "")
+        want[i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest()] += 1
+    for r in got:
+        forms[tuple(r["feature"].split(":")[0].split("x")[1:3])] += 1
+    assert Counter(tuple(r)[:7] for r in got) == want and len(forms) >= 5
+    assert max(int(r["feature"].split(":")[0].split("x")[3]) for r in got) > 1
+    by_text = {}
+    for i, t, *_ in rows:
+        by_text.setdefault(t or "", set()).add(next(r["feature"] for r in got if r["doc_id"] == i and r["n_bytes"] == len((t or "").encode())))
+    assert all(len(v) == 1 for v in by_text.values())
+
+
 def test_tiff_column(spark, docs):
     good = tiff.encode([(np.ones((2, 2), np.uint8), "a"), (np.zeros((1, 4), np.uint8), "b")])
     df = spark.createDataFrame([(1, bytearray(good)), (2, None), (3, bytearray(b"junk")), (4, bytearray(good[:40]))], "k int, media binary").withColumn("tiff", F.lit(0))
     got = [(r["k"], r["tiff"]["page"], r["tiff"]["error"] is None) for r in tiff.pages(df).collect()]
     assert sorted(got) == [(1, 0, True), (1, 1, True), (3, -1, False), (4, -1, False)]
-    rows = tiff.pages(tiff.from_text(docs)).select("text", "tiff.pixels").collect()
+    rows = tiff.decoded(tiff.from_text(docs)).select("text", F.col("pages.pixels").alias("pixels")).collect()
     for r in rows:
         raw = (r["text"] or "").encode()
-        assert bytes(r["pixels"]) == raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        assert b"".join(map(bytes, r["pixels"])) == raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
 
 
 # 6

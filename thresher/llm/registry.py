@@ -43,17 +43,20 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     stored = materialise(tiff.from_text(docs).select("doc_id", "media"), "media", "none")
-    pages = tiff.pages(stored)
-    pixels = F.col("tiff.pixels")
+    # The pages of a text are its payload in order; they are put together where they are decoded.
+    pages = tiff.decoded(stored).withColumn("first", F.get("pages", F.lit(0)))
+    pages = pages.withColumn("pixels", F.aggregate(F.slice("pages", 2, F.size("pages")), F.col("first.pixels"), lambda acc, p: F.concat(acc, p["pixels"])))
+    pixels, ratio = F.col("pixels"), F.round(F.octet_length("media") / F.octet_length("pixels"), 4)
+    form = F.concat_ws("x", "first.width", "first.compression", "first.predictor", F.size("pages"))
     return pages.select(
         "doc_id",
-        F.regexp_extract("tiff.description", r"bytes=(\d+)", 1).cast("long").alias("n_bytes"),
+        F.regexp_extract("first.description", r"bytes=(\d+)", 1).cast("long").alias("n_bytes"),
         F.octet_length(pixels).cast("long").alias("payload_bytes"),
         F.sha2(pixels, 256).alias("payload_sha256"),
         F.crc32(F.substring(pixels, -64, 64)).alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
-        F.concat_ws(":", F.concat_ws("x", "tiff.width", "tiff.height"), "tiff.compression", F.hex(F.xxhash64(pixels)), F.round(F.octet_length("media") / F.octet_length(pixels), 4)).alias("feature"),
+        F.concat_ws(":", form, F.hex(F.xxhash64(pixels)), ratio).alias("feature"),
     )
 
 

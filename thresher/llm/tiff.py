@@ -1,13 +1,21 @@
-"""TIFF media columns: 8-bit pages written, and directories, strips and tiles read back.
-
-``decode`` walks the image file directories of either byte order, joins strips
-or tiles stored plain, by PackBits, LZW or deflate, undoes the horizontal
-predictor and gives one page a directory. ``encode`` writes the same forms.
-``pages`` turns a media column into one row a page.
-
-Defined cases: null media gives no row; media that isn't a TIFF, or is damaged,
-gives one row with page -1 and the reason in ``error``; repeated rows give
-repeated pages; directories that point back end the walk.
+"""TIFF media columns: pages written, and directories, strips and tiles read back.
+
+``decode`` walks the image file directories of either byte order, of classic and
+of big files, sub-directories after their parent, joins strips or tiles stored
+plain, by PackBits, LZW or deflate, undoes the horizontal and the floating-point
+predictor and gives one page a directory: samples of 1 to 8 bits one a byte, wider ones
+little-endian, the samples of a pixel side by side however the file keeps them. ``encode`` writes
+8-bit pages in the same forms. ``pages`` turns a media column into one row a page.
+
+Sizes that a directory claims are checked before any memory is taken: against what its
+strips can hold by their compression, and against ``MOST_BYTES`` a page.
+
+Defined cases: null media gives no row; media that isn't a TIFF, or whose chain of directories
+is damaged at the start, gives one row with page -1 and the reason in ``error``; a directory that can't be
+decoded gives a row with its number and the reason, and the others stay; a chain that
+breaks off gives such a row last; repeated rows give
+repeated pages; directories met before end the walk; an empty table gives no row; media of any length is read whole;
+a column named ``tiff`` is replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +31,13 @@ from pyspark.sql import functions as F
 
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4}
-_LETTER = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 13: "I"}
+_LETTER = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 13: "I", 16: "Q", 17: "q", 18: "Q"}
+_SIZES |= {16: 8, 17: 8, 18: 8}
+MOST_BYTES = 1 << 28  # of samples a page
+#: Bytes that a byte of stored data can give at most.
+_GROWTH = {NONE: 1, PACKBITS: 64, LZW: 4096, DEFLATE: 1040, OLD_DEFLATE: 1040}
+_FLIP = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
+_BROKEN = (ValueError, KeyError, struct.error, zlib.error, IndexError, TypeError, ZeroDivisionError, OverflowError, MemoryError)
 
 
 @dataclass
@@ -35,6 +49,8 @@ class Page:
     predictor: int
     description: str
     pixels: bytes
+    bits: int = 8
+    error: str | None = None
 
 
 # ------------------------------------------------------------ codecs
@@ -74,76 +90,82 @@ def packbits_decode(data: bytes, size: int) -> bytes:
 
 def lzw_encode(data: bytes) -> bytes:
     """MSB-first LZW with the early width change of the format."""
-    acc = bits = 0
-    out = bytearray()
-
-    def put(code: int, width: int) -> None:
-        nonlocal acc, bits
-        acc, bits = (acc << width) | code, bits + width
-        while bits >= 8:
-            bits -= 8
-            out.append(acc >> bits & 255)
-        acc &= (1 << bits) - 1
-
-    table, width, w = {bytes((k,)): k for k in range(256)}, 9, b""
-    put(256, 9)
-    for k in range(len(data)):
-        c = data[k : k + 1]
-        if w + c in table:
-            w += c
+    acc, bits, out = 256, 9, bytearray()
+    table: dict[int, int] = {}  # (code of the string before << 8 | next byte) to code
+    free, width, limit = 258, 9, 511
+    w = -1
+    get = table.get
+    for c in data:
+        if w < 0:
+            w = c
             continue
-        put(table[w], width)
-        table[w + c] = len(table) + 2
-        top = len(table) + 2
-        if top > 4094:
-            put(256, width)
-            table, width = {bytes((k,)): k for k in range(256)}, 9
-        elif top > (1 << width) - 1:
-            width += 1
+        key = w << 8 | c
+        if (code := get(key)) is not None:
+            w = code
+            continue
+        acc, bits = acc << width | w, bits + width
+        if bits > 256:
+            bits -= 256
+            out += (acc >> bits).to_bytes(32, "big")
+            acc &= (1 << bits) - 1
+        table[key] = free
+        if free >= 4094:
+            acc, bits = acc << width | 256, bits + width
+            table.clear()
+            free, width, limit = 258, 9, 511
+        else:
+            if free == limit:
+                width += 1
+                limit = (1 << width) - 1
+            free += 1
         w = c
-    if w:
-        put(table[w], width)
-        if len(table) + 2 >= (1 << width) - 1 and width < 12:  # the reader adds an entry here
+    if w >= 0:
+        acc, bits = acc << width | w, bits + width
+        if free == limit and width < 12:  # the reader adds an entry here
             width += 1
-    put(257, width)
-    if bits:
-        out.append(acc << (8 - bits) & 255)
-    return bytes(out)
+    acc, bits = acc << width | 257, bits + width
+    pad = -bits % 8
+    return bytes(out) + (acc << pad).to_bytes((bits + pad) // 8, "big")
 
 
 def lzw_decode(data: bytes, size: int) -> bytes:
-    acc = bits = pos = 0
-    width, out = 9, bytearray()
-    table: list[bytes] = []
-    prev = None
+    acc = bits = pos = have = 0
+    width, limit, out = 9, 511, []
     fresh = [bytes((k,)) for k in range(256)] + [b"", b""]
-    while len(out) < size:
-        while bits < width:
-            if pos >= len(data):
-                return bytes(out)
-            acc, bits, pos = (acc << 8 | data[pos]) & 0xFFFFFF, bits + 8, pos + 1
+    table, prev = list(fresh), None
+    while have < size:
+        if bits < width:
+            chunk = data[pos : pos + 32]
+            if not chunk:
+                break
+            acc, bits, pos = (acc & ((1 << bits) - 1)) << 8 * len(chunk) | int.from_bytes(chunk, "big"), bits + 8 * len(chunk), pos + 32
+            if bits < width:
+                break
         bits -= width
         code = acc >> bits & ((1 << width) - 1)
-        acc &= (1 << bits) - 1
         if code == 257:
             break
         if code == 256:
-            table, width, prev = list(fresh), 9, None
+            table, width, limit, prev = list(fresh), 9, 511, None
             continue
         if prev is None:
-            if not table:
-                table = list(fresh)
             entry = table[code]
         else:
-            if code > len(table):
+            n = len(table)
+            if code < n:
+                entry = table[code]
+            elif code == n:
+                entry = prev + prev[:1]
+            else:
                 raise ValueError("LZW code out of range")
-            entry = table[code] if code < len(table) else prev + prev[:1]
             table.append(prev + entry[:1])
-        out += entry
+            if n + 2 > limit and width < 12:
+                width += 1
+                limit = (1 << width) - 1
+        out.append(entry)
+        have += len(entry)
         prev = entry
-        if len(table) + 1 > (1 << width) - 1 and width < 12:
-            width += 1
-    return bytes(out)
+    return b"".join(out)
 
 
 def _unpack(data: bytes, compression: int, size: int) -> bytes:
@@ -154,7 +176,7 @@ def _unpack(data: bytes, compression: int, size: int) -> bytes:
     elif compression == LZW:
         got = lzw_decode(data, size)
     elif compression in (DEFLATE, OLD_DEFLATE):
-        got = zlib.decompressobj().decompress(data, size)
+        got = zlib.decompressobj().decompress(data, max(1, size))
     else:
         raise ValueError(f"compression {compression} is not supported")
     if len(got) < size:
@@ -219,89 +241,157 @@ def encode(pages: list[tuple[np.ndarray, str]], compression: int = DEFLATE, pred
     return bytes(out)
 
 
+def _directories(data: bytes, order: str, big: bool, at: int):
+    """The tags of every directory, or the error that ends the walk."""
+    head, entry, inline, count_at, step = ("Q", "HHQ", 8, 8, 20) if big else ("H", "HHI", 4, 2, 12)
+    link, seen, todo = "Q" if big else "I", set(), [at]
+    while todo:
+        at = todo.pop()
+        if not at or at in seen:
+            continue
+        seen.add(at)
+        try:
+            (n,) = struct.unpack_from(order + head, data, at)
+            if at + count_at + n * step + inline > len(data):
+                raise ValueError("a directory runs out of the file")
+            tags: dict[int, list | bytes] = {}
+            for k in range(n):
+                place = at + count_at + step * k
+                tag, kind, count = struct.unpack_from(order + entry, data, place)
+                size, value = _SIZES.get(kind, 1) * count, place + step - inline
+                where = value if size <= inline else struct.unpack_from(order + link, data, value)[0]
+                if where + size > len(data):
+                    raise ValueError(f"tag {tag} points outside the file")
+                tags[tag] = data[where : where + size] if kind in (2, 7) else list(struct.unpack_from(order + _LETTER[kind] * count, data, where)) if kind in _LETTER else []
+            (after,) = struct.unpack_from(order + link, data, at + count_at + step * n)
+        except _BROKEN as e:
+            yield e
+            return
+        yield tags
+        todo += [after, *reversed(tags.get(330, []))]
+
+
 def decode(data: bytes) -> list[Page]:
-    """All pages of a TIFF with 8-bit samples stored together."""
+    """All pages of a TIFF; one that can't be decoded has its reason in ``error``. Raises ValueError if there is no directory to read."""
     if data[:2] not in (b"II", b"MM"):
         raise ValueError("not a TIFF")
     order = "<" if data[:2] == b"II" else ">"
-    magic, at = struct.unpack_from(order + "HI", data, 2)
-    if magic != 42:
-        raise ValueError("not a classic TIFF")
-    pages, seen = [], set()
-    while at and at not in seen:
-        seen.add(at)
-        (n,) = struct.unpack_from(order + "H", data, at)
-        tags: dict[int, list | bytes] = {}
-        for k in range(n):
-            tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
-            size = _SIZES.get(kind, 1) * count
-            where = at + 10 + 12 * k if size <= 4 else struct.unpack_from(order + "I", data, at + 10 + 12 * k)[0]
-            if where + size > len(data):
-                raise ValueError(f"tag {tag} points outside the file")
-            tags[tag] = data[where : where + size] if kind in (2, 7) else list(struct.unpack_from(order + _LETTER[kind] * count, data, where)) if kind in _LETTER else []
-        pages.append(_page(data, tags))
-        (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
-    return pages
-
-
-def _page(data: bytes, tags: dict) -> Page:
+    (magic,) = struct.unpack_from(order + "H", data, 2)
+    if magic not in (42, 43):
+        raise ValueError("not a TIFF")
+    (at,) = struct.unpack_from(order + ("Q" if magic == 43 else "I"), data, 8 if magic == 43 else 4)
+    out: list[Page] = []
+    for tags in _directories(data, order, magic == 43, at):
+        try:
+            if isinstance(tags, Exception):
+                raise tags
+            out.append(_page(data, tags, order))
+        except _BROKEN as e:
+            if isinstance(tags, Exception) and not out:
+                raise ValueError(str(e)) from e
+            out.append(Page(0, 0, 0, 0, 0, "", b"", 0, str(e) or type(e).__name__))
+    return out
+
+
+def _samples(raw: bytes, rows: int, width: int, samples: int, bits: int, order: str, predictor: int) -> np.ndarray:
+    """rows x width x samples of one strip or tile, its predictor undone."""
+    if bits < 8:
+        line = -(-width * samples * bits // 8)
+        ones = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(rows, line), axis=1)[:, : width * samples * bits]
+        return (ones.reshape(rows, width, samples, bits) @ (1 << np.arange(bits)[::-1])).astype(np.uint8)
+    size = bits // 8
+    if predictor == 3:  # bytes of each row by significance, highest first, as differences
+        x = np.frombuffer(raw, np.uint8).reshape(rows, size * width * samples)
+        planes = x.reshape(rows, -1, samples).cumsum(axis=1, dtype=np.uint8).reshape(rows, size, width * samples)
+        return np.ascontiguousarray(planes[:, ::-1].transpose(0, 2, 1)).view(f"<u{size}").reshape(rows, width, samples)
+    x = np.frombuffer(raw, f"{order}u{size}").astype(f"<u{size}").reshape(rows, width, samples)
+    return np.cumsum(x, axis=1, dtype=x.dtype) if predictor == 2 else x
+
+
+def _page(data: bytes, tags: dict, order: str) -> Page:
     one = lambda tag, default=None: (tags.get(tag) or [default])[0]
     w, h, s = one(256), one(257), one(277, 1)
-    compression, predictor = one(259, NONE), one(317, 1)
-    if w is None or h is None:
+    compression, predictor, planar = one(259, NONE), one(317, 1), one(284, 1)
+    depths = set(tags.get(258) or [1])
+    bits = one(258, 1)
+    if not w or not h or not s:
         raise ValueError("a directory has no size")
-    if any(b != 8 for b in tags.get(258, [1])) or one(284, 1) != 1 or predictor not in (1, 2):
-        raise ValueError("only 8-bit samples stored together are supported")
+    if len(depths) > 1 or bits not in (1, 2, 4, 8, 16, 32, 64) or planar not in (1, 2) or predictor not in (1, 2, 3) or (predictor == 3 and bits < 16) or (predictor == 2 and bits < 8):
+        raise ValueError(f"samples of {sorted(depths)} bits with predictor {predictor} are not supported")
+    if compression not in _GROWTH:
+        raise ValueError(f"compression {compression} is not supported")
     tiled = 324 in tags
-    tw, th = (one(322), one(323)) if tiled else (w, min(one(278, h) or h, max(h, 1)))
+    tw, th = (one(322), one(323)) if tiled else (w, min(one(278, h) or h, h))
     offsets, counts = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
-    across = -(-w // tw) if tiled and w else 1
-    image = np.zeros((h, w, s), np.uint8)
-    for k, (o, c) in enumerate(zip(offsets, counts, strict=True)):
-        r, col = (k // across) * th, (k % across) * tw
-        if r >= h:
-            break
-        rows = th if tiled else min(th, h - r)
-        x = np.frombuffer(_unpack(data[o : o + c], compression, rows * tw * s), np.uint8).reshape(rows, tw, s)
-        if predictor == 2:
-            x = np.cumsum(x, axis=1, dtype=np.uint8)
-        part = image[r : r + rows, col : col + tw]
-        part[:] = x[: part.shape[0], : part.shape[1]]
-    return Page(w, h, s, compression, predictor, bytes(tags.get(270, b"")).rstrip(b"\0").decode("utf-8", "replace"), image.tobytes())
+    across, down, each = (-(-w // tw) if tiled else 1), -(-h // th), s if planar == 1 else 1
+    need, have = -(-w * s * bits // 8) * h, sum(min(c, len(data)) for c in counts) * _GROWTH[compression]
+    if need > MOST_BYTES or w * h * s * max(1, bits // 8) > MOST_BYTES or need > have:
+        raise ValueError(f"a page of {w} x {h} x {s} samples is more than its strips or the limit allow")
+    if len(offsets) != len(counts) or len(offsets) < across * down * (s // each):
+        raise ValueError("strips or tiles are missing")
+    if th * tw * each * max(1, bits // 8) > 4 * MOST_BYTES:
+        raise ValueError("a tile is larger than the limit allows")
+    image = np.zeros((h, w, s), np.uint8 if bits <= 8 else f"<u{bits // 8}")
+    for plane in range(s // each):
+        for k in range(across * down):
+            o, c = offsets[plane * across * down + k], counts[plane * across * down + k]
+            r, col = (k // across) * th, (k % across) * tw
+            rows = th if tiled else min(th, h - r)
+            stored = data[o : o + c]
+            if one(266, 1) == 2:
+                stored = stored.translate(_FLIP)
+            x = _samples(_unpack(stored, compression, rows * (-(-tw * each * bits // 8))), rows, tw, each, bits, order, predictor)
+            part = image[r : r + rows, col : col + tw, plane * each : plane * each + each]
+            part[:] = x[: part.shape[0], : part.shape[1]]
+    return Page(w, h, s, compression, predictor, bytes(tags.get(270, b"")).rstrip(b"\0").decode("utf-8", "replace"), image.tobytes(), bits)
 
 
 # ------------------------------------------------------------ columns
 
-_FIELDS = [("page", pa.int32()), ("width", pa.int64()), ("height", pa.int64()), ("samples", pa.int32()), ("compression", pa.int32()), ("predictor", pa.int32()), ("description", pa.string()), ("pixels", pa.binary()), ("error", pa.string())]
-PAGE_TYPE = "array<struct<page:int,width:long,height:long,samples:int,compression:int,predictor:int,description:string,pixels:binary,error:string>>"
+_FIELDS = [("page", pa.int32()), ("width", pa.int64()), ("height", pa.int64()), ("samples", pa.int32()), ("bits", pa.int32()), ("compression", pa.int32()), ("predictor", pa.int32()), ("description", pa.string()), ("pixels", pa.binary()), ("error", pa.string())]
+PAGE_TYPE = "array<struct<page:int,width:long,height:long,samples:int,bits:int,compression:int,predictor:int,description:string,pixels:binary,error:string>>"
 
 
 def page_rows(media: bytes | None) -> list[dict]:
     if media is None:
         return []
     try:
-        return [{"page": k, "width": p.width, "height": p.height, "samples": p.samples, "compression": p.compression, "predictor": p.predictor, "description": p.description, "pixels": p.pixels, "error": None} for k, p in enumerate(decode(media))]
-    except (ValueError, KeyError, struct.error, zlib.error, IndexError, TypeError, ZeroDivisionError) as e:
+        found = decode(media)
+    except _BROKEN as e:
         return [{"page": -1, "error": str(e) or type(e).__name__}]
+    whole = ("width", "height", "samples", "bits", "compression", "predictor", "description", "pixels")
+    return [{"page": k, "error": p.error} if p.error else {"page": k, **{n: getattr(p, n) for n in whole}, "error": None} for k, p in enumerate(found)]
 
 
-def pages(df: DataFrame, media_col: str = "media") -> DataFrame:
-    """``df`` with one row a page: its other columns and a struct column ``tiff`` of the page."""
+def decoded(df: DataFrame, media_col: str = "media", out: str = "pages") -> DataFrame:
+    """``df`` with an array column of the pages of a media column."""
     kind = pa.list_(pa.struct(_FIELDS))
 
     def column(array: pa.Array) -> pa.Array:
         return pa.array([page_rows(x.as_py()) for x in array], kind)
 
-    udf = F.arrow_udf(column, PAGE_TYPE).asNondeterministic()
-    return df.withColumn("__pages", udf(F.col(media_col))).withColumn("tiff", F.explode("__pages")).drop("__pages")
+    return df.withColumn(out, F.arrow_udf(column, PAGE_TYPE).asNondeterministic()(F.col(media_col)))
+
+
+def pages(df: DataFrame, media_col: str = "media") -> DataFrame:
+    """``df`` with one row a page: its other columns and a struct column ``tiff`` of the page."""
+    return decoded(df, media_col, "__pages").withColumn("tiff", F.explode("__pages")).drop("__pages")
+
+
+#: The forms that texts are stored in, as compression, predictor and tile (None: strips); a text's own hash picks one.
+FORMS = [(DEFLATE, 1, None), (PACKBITS, 1, None), (DEFLATE, 2, 64), (LZW, 1, None), (DEFLATE, 1, 64), (PACKBITS, 2, None), (DEFLATE, 2, None), (LZW, 2, 64)]
 
 
-def text_media(text: str, columns: int = 64) -> bytes:
-    """A text's UTF-8 bytes, zero-filled to whole rows, as a one-page grey TIFF whose description has the byte count."""
+def text_media(text: str, columns: int = 64, page_rows: int = 2048) -> bytes:
+    """A text's UTF-8 bytes, zero-filled to whole rows, as a grey TIFF of pages of at most ``page_rows`` rows;
+    the first page's description has the byte count. Byte order and form follow from the bytes."""
     raw = text.encode("utf-8", "surrogatepass")
     rows = max(1, -(-len(raw) // columns))
     image = np.frombuffer(raw.ljust(rows * columns, b"\0"), np.uint8).reshape(rows, columns)
-    return encode([(image, f"bytes={len(raw)}")], DEFLATE)
+    pick = zlib.crc32(raw)
+    compression, predictor, tile = FORMS[pick % len(FORMS)]
+    parts = [(image[r : r + page_rows], f"bytes={len(raw)}" if not r else "") for r in range(0, rows, page_rows)]
+    return encode(parts, compression, predictor, 256, tile, "<>"[pick >> 8 & 1])
 
 
 def from_text(df: DataFrame, text_col: str = "text", out: str = "media") -> DataFrame:
