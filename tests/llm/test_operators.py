@@ -248,6 +248,36 @@ def test_warc(spark):
     assert warc.archive_pages(df.where("false")).count() == 0
 
 
+def test_warc_captures_of_repeated_pages(spark):
+    big = "x" * 1500
+    pages = [(7, "http://c/", big), (7, "http://d/", big), (None, "http://e/", "s"), (None, "http://f/", "s"), (1, "http://g/", big), (8, "http://h/", "small")] + [(8, "http://h/", "small")] * 2 + [(None, "n", "z" * 1200)] * 2
+    got = warc.archive_pages(spark.createDataFrame(pages, "page_id long, url string, html string"), payloads=True).collect()
+    assert Counter((r["page_id"], r["request"]["target_uri"], r["response"]["target_uri"]) for r in got) == Counter((i, u, u) for i, u, _ in pages)
+    assert len({r["capture"] for r in got}) == len(pages) and all(r["n_requests"] == r["n_metadata"] == 1 for r in got)
+    kinds = {(r["page_id"], r["response"]["target_uri"]): (r["response"]["warc_type"], r["refers_to"]) for r in got}
+    assert kinds[7, "http://c/"] == kinds[7, "http://d/"] == ("response", None) and kinds[1, "http://g/"] == ("revisit", 7)
+
+
+def test_warc_of_others(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n3\r\nabc\r\n2;x=y\r\nde\r\n0\r\n\r\n"
+    ask = b"GET / HTTP/1.1\r\n\r\n"
+    tie = lambda *ids: [("WARC-Concurrent-To", f"<{i}>") for i in ids]
+    good = warc.record("response", "urn:r1", http, "d", "application/http;msgtype=response", tie("urn:q1", "urn:m1"))
+    good += warc.record("request", "urn:q1", ask, "d", "application/http;msgtype=request") + warc.record("metadata", "urn:m1", b"a: 1\r\n", "d", "application/warc-fields")
+    good += warc.record("response", "urn:r2", http, "d", "application/http;msgtype=response") + warc.record("request", "urn:q2", ask, "d", "application/http;msgtype=request", tie("urn:gone", "urn:r2"))
+    good += warc.record("metadata", "urn:m2", b"a: 2\r\n", "d", "application/warc-fields", tie("urn:q2"))
+    files = {"good.warc": good, "cut.warc.gz": warc.member(good, 6)[:-30], "odd.warc": good.replace(b"Content-Length: 18", b"Content-Length: many"), "junk.warc": b"nothing\n"}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    paths = spark.createDataFrame([(f"file://{tmp_path}/{name}",) for name in files], "file string")
+    rows = warc.read_paths(spark, paths).collect()
+    assert Counter(r["target_uri"].rpartition("/")[2] for r in rows if r["warc_type"] == "error") == Counter(["cut.warc.gz", "odd.warc", "junk.warc"])
+    one = warc.read_paths(spark, paths.where("file LIKE '%good.warc'"))
+    got = {r["capture"]: r for r in warc.assemble(one).collect()}
+    assert set(got) == {"urn:r1", "urn:r2"} and bytes(got["urn:r1"]["response"]["payload"]) == b"abcde"
+    assert [(got[c]["request"]["record_id"], got[c]["metadata"]["record_id"]) for c in ("urn:r1", "urn:r2")] == [("urn:q1", "urn:m1"), ("urn:q2", "urn:m2")]
+
+
 def test_warc_parser_and_orphans(spark):
     one = warc.record("warcinfo", "urn:i", b"x: y\r\n", "d", "application/warc-fields")
     for data in (one * 3, warc.member(one, 6) * 3, warc.member(one * 3, 6)):

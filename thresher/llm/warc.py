@@ -4,14 +4,21 @@ Writing makes three records of every page: a response (or a revisit of the
 response with the same payload), a request and a metadata record, tied to the
 first by ``WARC-Concurrent-To``. Files are gzip with one member a record. A
 file's name carries the writing attempt; only files named by the written
-manifest count. Reading streams members and yields one row a record.
-``assemble`` joins requests and metadata to their captures and gives one nested
-row a capture.
+manifest count. Reading streams members and yields one row a record, of our archives by their manifest or of
+any by their paths. ``assemble`` joins requests and metadata to their captures through all
+concurrent-to identifiers, whichever record states them, and gives one nested row a capture.
+
+Record ids are hashes of page id, url, payload and the number among rows alike in all
+three, so that each row is a capture of its own and a revisit can name its response
+without meeting it. Rows alike in all three are written from one of them.
 
 Defined cases: null html is the empty payload; a null url becomes
-``urn:x-none:``; repeated pages each keep their own capture; a request or
+``urn:x-none:``; of rows that share a payload's largest page id all are responses, and revisits name that
+with the largest url; where all page ids of a payload are null, all are responses; repeated pages each keep their own capture; a request or
 metadata record without its capture gives a capture with a null response;
-records that can't be parsed end the reading of their file with an error.
+an archive that can't be read further, or at all, gives the records before that and one of type ``error`` with the reason
+in ``fields``; chunked bodies are joined; an empty table gives no archive; payloads of any length are written whole;
+other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import open_fs, shared_dir
+from ._common import BROADCAST_ROWS, join_hot, materialise, open_fs, shared_dir
 
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -133,7 +140,23 @@ def _http(block: bytes) -> tuple[str, dict[str, list[str]], bytes]:
     head, sep, payload = block.partition(b"\r\n\r\n")
     lines = iter(head.split(b"\r\n") + [b""])
     first = next(lines).decode("latin-1")
-    return first, _headers(lambda: next(lines, b"")), payload
+    headers = _headers(lambda: next(lines, b""))
+    return first, headers, _joined(payload) if "chunked" in headers.get("transfer-encoding", [""])[-1].lower() else payload
+
+
+def _joined(body: bytes) -> bytes:
+    """A chunked body without its chunk sizes; as it is where it isn't one."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        try:
+            n = int(body[at:end].split(b";")[0], 16)
+        except ValueError:
+            break
+        if n == 0:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 4 + n
+    return body
 
 
 def _hex_digest(value: str | None) -> str | None:
@@ -157,38 +180,58 @@ def _bare(value: list[str] | None) -> str | None:
 
 
 def plan_captures(pages: DataFrame, config: WarcConfig = WarcConfig()) -> DataFrame:
-    """page_id, url, html, n, digest and ``original`` (the page that a revisit refers to, else null)."""
+    """page_id, url, html, digest, copy (number among rows alike) and, of a revisit, original: struct(page_id, url) of the
+    response it refers to. Pages stay where they are unless more payloads repeat than may be broadcast."""
     html = F.coalesce("html", F.lit(""))
     base = pages.select("page_id", "url", html.alias("html")).withColumns({"n": F.octet_length("html"), "digest": F.sha1(F.col("html").cast("binary"))})
-    large = base.where(F.col("n") >= config.revisit_bytes)
-    equal = large.groupBy("digest", "n").agg(F.max("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select(F.col("digest").alias("__d"), F.col("n").alias("__n"), "first")
-    # Small pages get a key of their own, so that equal ones don't meet in one task.
-    key = F.when(F.col("n") >= config.revisit_bytes, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
-    joined = base.withColumn("__k", key).join(equal, (F.col("__k") == F.col("__d")) & (F.col("n") == F.col("__n")), "left")
-    return joined.select("page_id", "url", "html", "n", "digest", F.when(F.col("first") != F.coalesce("page_id", F.lit(-(2**62))), F.col("first")).alias("original"))
+    slim = materialise(base.groupBy("page_id", "url", "n", "digest").agg(F.count("*").alias("copies")), "captures")
+    big = F.col("n") >= config.revisit_bytes
+    one = F.struct("page_id", "url")
+    equal = slim.where(big).groupBy("digest").agg(F.max(one).alias("first"), F.sum("copies").alias("rows")).where("rows > 1 AND first.page_id IS NOT NULL")
+    equal = materialise(equal, "payloads")
+    alike = slim.where("copies > 1").select(F.col("page_id").alias("__p"), F.col("url").alias("__u"), F.col("digest").alias("__g"), "copies")
+    rows, many = base, alike.agg(F.count("*").alias("n"), F.max("copies").alias("most")).first()
+    if many["n"]:
+        table = F.broadcast(alike) if many["n"] <= BROADCAST_ROWS else alike
+        same = F.col("page_id").eqNullSafe(F.col("__p")) & F.col("url").eqNullSafe(F.col("__u")) & (F.col("digest") == F.col("__g"))
+        met = base.join(table, same, "left").drop("__p", "__u", "__g")
+        names = ["page_id", "url", "n", "digest", "copies"]
+        once = met.where("copies IS NOT NULL").groupBy(*names).agg(F.any_value("html").alias("html"))  # each task keeps one before any is moved
+        if many["most"] > 1000:
+            once = once.withColumn("__a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(1000).cast("long")))).repartition()
+            once = once.withColumn("copy", F.explode(F.sequence("__a", F.least(F.col("__a") + 1000, "copies") - 1)))
+        else:
+            once = once.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+        rows = met.where("copies IS NULL").withColumn("copy", F.lit(0).cast("long")).select(*base.columns, "copy").unionByName(once.select(*base.columns, "copy"))
+    else:
+        rows = rows.withColumn("copy", F.lit(0).cast("long"))
+    small = rows.where(~big).withColumns({"first": F.lit(None).cast(equal.schema["first"].dataType), "rows": F.lit(None).cast("long")})
+    met = join_hot(rows.where(big), equal, "digest", "rows", slim.agg(F.sum("copies")).first()[0] or 0, "left")
+    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
+    return met.unionByName(small).select("page_id", "url", "html", "digest", "copy", F.when(revisit, F.col("first")).alias("original"))
 
 
 def _uuid(*parts) -> str:
-    return f"urn:uuid:{uuid.UUID(bytes=hashlib.md5('/'.join(map(str, parts)).encode()).digest())}"
+    return f"urn:uuid:{uuid.UUID(bytes=hashlib.md5(repr(parts).encode('utf-8', 'surrogatepass')).digest()[:16])}"
 
 
-def page_records(page_id, url, html: str, digest: str, original, where: str, config: WarcConfig) -> list[bytes]:
+def page_records(page_id, url, html: str, digest: str, copy: int, original: dict | None, config: WarcConfig) -> list[bytes]:
     """The three records of one page, each a gzip member."""
     payload = html.encode("utf-8", "surrogatepass")
     uri = quote(url, safe="!#$%&'()*+,/:;=?@[]~") if url else "urn:x-none:"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     base = [("WARC-Target-URI", uri), ("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode())]
-    mine = _uuid("capture", page_id, digest) if original is None else _uuid("revisit", where)
+    mine = _uuid("capture", page_id, url, digest, copy)
     if original is None:
         first = record("response", mine, http + payload, config.date, "application/http;msgtype=response", base)
     else:
-        extra = [*base, ("WARC-Refers-To", f"<{_uuid('capture', original, digest)}>"), ("WARC-Profile", REVISIT)]
+        extra = [*base, ("WARC-Refers-To", f"<{_uuid('capture', original['page_id'], original['url'], digest, 0)}>"), ("WARC-Profile", REVISIT)]
         first = record("revisit", mine, http, config.date, "application/http;msgtype=response", extra)
     parts = urlsplit(uri)
     tie = [("WARC-Target-URI", uri), ("WARC-Concurrent-To", f"<{mine}>")]
     path = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
-    request = record("request", _uuid("request", where), f"GET {path} HTTP/1.1\r\nHost: {parts.netloc}\r\n\r\n".encode(), config.date, "application/http;msgtype=request", tie)
-    metadata = record("metadata", _uuid("metadata", where), f"page-id: {'' if page_id is None else page_id}\r\n".encode(), config.date, "application/warc-fields", tie)
+    request = record("request", _uuid("request", mine), f"GET {path} HTTP/1.1\r\nHost: {parts.netloc}\r\n\r\n".encode(), config.date, "application/http;msgtype=request", tie)
+    metadata = record("metadata", _uuid("metadata", mine), f"page-id: {'' if page_id is None else page_id}\r\n".encode(), config.date, "application/warc-fields", tie)
     return [member(x, config.level) for x in (first, request, metadata)]
 
 
@@ -202,16 +245,14 @@ def write_archives(pages: DataFrame, path: str, config: WarcConfig = WarcConfig(
 
         fs, root = open_fs(path)
         part, out, size, name, n, done = TaskContext.get().partitionId(), None, 0, "", 0, []
-        row = 0
         for b in batches:
-            for page_id, url, html, digest, original in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for page_id, url, html, digest, copy, original in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if out is None:
                     name, size, n = f"archives/{part:06d}-{len(done):04d}-{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = fs.open_output_stream(f"{root}/{name}", compression=None)
-                for m in page_records(page_id, url, html, digest, original, f"{part}/{row}", config):
+                for m in page_records(page_id, url, html, digest, copy, original, config):
                     out.write(m)
                     size, n = size + len(m), n + 1
-                row += 1
                 if size >= config.file_bytes:
                     out.close()
                     out = done.append((name, size, n))
@@ -220,7 +261,7 @@ def write_archives(pages: DataFrame, path: str, config: WarcConfig = WarcConfig(
             done.append((name, size, n))
         yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["file", "bytes", "records"])
 
-    plan_captures(pages, config).select("page_id", "url", "html", "digest", "original").mapInArrow(write, "file string, bytes long, records long").write.parquet(f"{path}/manifest")
+    plan_captures(pages, config).mapInArrow(write, "file string, bytes long, records long").write.parquet(f"{path}/manifest")
 
 
 # ------------------------------------------------------------ reading
@@ -248,49 +289,71 @@ def record_row(head: dict[str, list[str]], block: bytes, payloads: bool) -> tupl
     if kind in ("response", "resource"):
         size, digest = len(payload), hashlib.sha1(payload).hexdigest()
     get = lambda k: head.get(k, [None])[0]
-    return (kind, _bare(head.get("warc-record-id")), _bare(head.get("warc-concurrent-to")), _bare(head.get("warc-refers-to")), get("warc-target-uri"), get("warc-date"), digest, fields, status, size, payload if payloads and kind in ("response", "resource") else None)
+    return (kind, _bare(head.get("warc-record-id")), " ".join(x.strip("<> ") for x in head.get("warc-concurrent-to", [])) or None, _bare(head.get("warc-refers-to")), get("warc-target-uri"), get("warc-date"), digest, fields, status, size, payload if payloads and kind in ("response", "resource") else None)
 
 
-def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """One row a record of the archives that the manifest names."""
-    files = spark.read.parquet(f"{path}/manifest")
+def read_paths(spark: SparkSession, files: DataFrame, payloads: bool = True) -> DataFrame:
+    """One row a record of the archives whose full paths are in the first column of ``files``."""
     types = [pa.string()] * 8 + [pa.int32(), pa.int64(), pa.binary()]
     names = [*_TEXT, "http_status", "payload_bytes", "payload"]
+    batch = lambda buf: pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*buf, strict=True), types, strict=True)], names)
 
     def rows(batches):
-        fs, root = open_fs(path)
         for b in batches:
             for name in b.column(0).to_pylist():
-                buf, held = [], 0
-                with fs.open_input_stream(f"{root}/{name}", compression=None) as f:
-                    for head, block in parse(f):
-                        buf.append(record_row(head, block, payloads))
-                        held += len(block) if payloads else 0
-                        if len(buf) >= 5000 or held > 16 << 20:
-                            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*buf, strict=True), types, strict=True)], names)
-                            buf, held = [], 0
+                buf, held, last = [], 0, ""
+                try:
+                    fs, path = open_fs(name)
+                    with fs.open_input_stream(path, compression=None) as f:
+                        for head, block in parse(f):
+                            buf.append(record_row(head, block, payloads))
+                            last, held = buf[-1][1], held + (len(block) if payloads else 0)
+                            if len(buf) >= 5000 or held > 16 << 20:
+                                yield batch(buf)
+                                buf, held = [], 0
+                except FileNotFoundError:
+                    raise  # lost, not damaged: the task must fail
+                except (ValueError, zlib.error, EOFError) as e:
+                    buf.append(("error", None, None, None, name, None, None, f"after {last}: {e}", None, None, None))
                 if buf:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*buf, strict=True), types, strict=True)], names)
+                    yield batch(buf)
+
+    return files.repartition(max(1, min(10_000, files.count()))).mapInArrow(rows, RECORD_TYPE)
+
 
-    return files.select("file").repartition(max(1, min(10_000, files.count())), "file").mapInArrow(rows, RECORD_TYPE)
+def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """One row a record of the archives that the manifest names."""
+    files = spark.read.parquet(f"{path}/manifest")
+    return read_paths(spark, files.select(F.concat(F.lit(f"{path.rstrip('/')}/"), "file").alias("file")), payloads)
 
 
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row a capture: response (or revisit, resource), its request and its metadata.
 
-    Requests and metadata name their capture by WARC-Concurrent-To; metadata may
-    also name the request. Of several, the least record id is shown and all are counted.
+    Requests and metadata name their captures by WARC-Concurrent-To, or are named so by them; metadata may
+    also name the request. A record that names several captures is shown with each. Of several requests or metadata records, and of
+    answers with one id, the least record is shown and all are counted.
     """
-    tied = lambda kind: records.where((F.col("warc_type") == kind) & F.col("concurrent_to").isNotNull())
-    shown = F.struct("record_id", "target_uri", "date", "fields")
-    one = lambda df, name: df.groupBy("capture").agg(F.min_by(shown, "record_id").alias(name), F.count("*").alias(f"n_{name}"))
-    requests = tied("request").withColumn("capture", F.col("concurrent_to"))
-    hops = requests.groupBy(F.col("record_id").alias("__hop")).agg(F.min("capture").alias("__base"))
-    meta = tied("metadata").join(hops, F.col("concurrent_to") == F.col("__hop"), "left").withColumn("capture", F.coalesce("__base", "concurrent_to"))
-    answer = F.struct("warc_type", "record_id", "target_uri", "date", "refers_to", "http_status", "payload_digest", "payload_bytes", "payload")
-    answers = records.where(F.col("warc_type").isin("response", "revisit", "resource")).select(F.col("record_id").alias("capture"), answer.alias("response"))
-    joined = answers.join(one(requests, "request"), "capture", "full").join(one(meta, "metadata"), "capture", "full")
-    return joined.select("capture", "request", "response", "metadata", F.coalesce("n_request", F.lit(0)).alias("n_requests"), F.coalesce("n_metadata", F.lit(0)).alias("n_metadata"))
+    names = F.split(F.coalesce("concurrent_to", F.lit("")), " ")
+    slim = records.where(F.col("warc_type").isin("request", "metadata")).select("warc_type", F.struct("record_id", "target_uri", "date", "fields").alias("shown"), "record_id", F.filter(names, lambda x: x != "").alias("refs"))
+    answers = records.where(F.col("warc_type").isin("response", "revisit", "resource"))
+    ids = answers.select(F.col("record_id").alias("target"), F.col("record_id").alias("capture")).distinct()
+    said = answers.where("concurrent_to IS NOT NULL").select(F.explode(F.filter(names, lambda x: x != "")).alias("target"), F.col("record_id").alias("capture"))
+    known = ids.unionByName(said).distinct()
+
+    def placed(kind: str, known: DataFrame) -> DataFrame:
+        """(record_id, shown, capture) of the records of a kind; one whose captures are unknown goes by the least id it names, or its own."""
+        each = slim.where(F.col("warc_type") == kind).select("record_id", "shown", F.explode(F.array_distinct(F.concat("refs", F.array("record_id")))).alias("target"), F.array_min("refs").alias("least"))
+        met = each.join(known, "target", "left").groupBy("record_id", "shown").agg(F.collect_set("capture").alias("captures"), F.min("least").alias("least"))
+        return met.select("record_id", "shown", F.explode(F.when(F.size("captures") > 0, F.col("captures")).otherwise(F.array(F.coalesce("least", "record_id")))).alias("capture"))
+
+    requests = placed("request", known)
+    metadata = placed("metadata", known.unionByName(requests.select(F.col("record_id").alias("target"), "capture")).distinct())
+    answer = F.struct("record_id", "warc_type", "target_uri", "date", "refers_to", "http_status", "payload_digest", "payload_bytes", "payload")
+    kinds = {"response": answers.select(F.col("record_id").alias("capture"), answer.alias("response")), "request": requests.select("capture", F.col("shown").alias("request")), "metadata": metadata.select("capture", F.col("shown").alias("metadata"))}
+    rows = kinds["response"].unionByName(kinds["request"], True).unionByName(kinds["metadata"], True)
+    counted = [F.count(k).alias(f"n_{k}s" if k != "metadata" else "n_metadata") for k in ("request", "metadata")]
+    return rows.groupBy("capture").agg(*[F.min(k).alias(k) for k in ("request", "response", "metadata")], *counted)
 
 
 def archive_pages(pages: DataFrame, config: WarcConfig = WarcConfig(), payloads: bool = False) -> DataFrame:
@@ -303,6 +366,9 @@ def archive_pages(pages: DataFrame, config: WarcConfig = WarcConfig(), payloads:
     records = read_archives(spark, path, payloads)
     records.write.option("compression", "zstd").parquet(f"{path}/records")
     page = F.regexp_extract("metadata.fields", r"(?m)^page-id: *(-?\d+)\r?$", 1)
-    captures = assemble(spark.read.parquet(f"{path}/records")).withColumn("page_id", F.nullif(page, F.lit("")).cast("long"))
-    heads = captures.where("response.warc_type = 'response'").groupBy(F.col("capture").alias("__c")).agg(F.max("page_id").alias("refers_to"))
-    return captures.join(heads, F.col("response.refers_to") == F.col("__c"), "left").drop("__c")
+    captures = materialise(assemble(spark.read.parquet(f"{path}/records")).withColumn("page_id", F.nullif(page, F.lit("")).cast("long")), "transactions")
+    # A response that many revisits name is met by id: few names, so broadcast, or dealt with hot ones apart.
+    named = captures.where("response.refers_to IS NOT NULL").groupBy(F.col("response.refers_to").alias("__c")).agg(F.count("*").alias("__n"))
+    heads = named.join(captures.where("response.warc_type = 'response'").select(F.col("capture").alias("__c"), F.col("page_id").alias("refers_to")), "__c")
+    rows = captures.withColumn("__c", F.coalesce("response.refers_to", F.concat(F.lit("none "), "capture")))
+    return join_hot(rows, materialise(heads, "heads"), "__c", "__n", captures.count(), "left").drop("__c", "__n")
