@@ -205,10 +205,11 @@ def plan_captures(pages: DataFrame, config: WarcConfig = WarcConfig()) -> DataFr
         rows = met.where("copies IS NULL").withColumn("copy", F.lit(0).cast("long")).select(*base.columns, "copy").unionByName(once.select(*base.columns, "copy"))
     else:
         rows = rows.withColumn("copy", F.lit(0).cast("long"))
-    small = rows.where(~big).withColumns({"first": F.lit(None).cast(equal.schema["first"].dataType), "rows": F.lit(None).cast("long")})
-    met = join_hot(rows.where(big), equal, "digest", "rows", slim.agg(F.sum("copies")).first()[0] or 0, "left")
+    # Small pages get a key of their own, so that they neither match nor meet in one task.
+    keyed = rows.withColumn("__k", F.when(big, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url", "copy").cast("string"))))
+    met = join_hot(keyed, equal.withColumnRenamed("digest", "__k"), "__k", "rows", slim.agg(F.sum("copies")).first()[0] or 0, "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
-    return met.unionByName(small).select("page_id", "url", "html", "digest", "copy", F.when(revisit, F.col("first")).alias("original"))
+    return met.select("page_id", "url", "html", "digest", "copy", F.when(revisit, F.col("first")).alias("original"))
 
 
 def _uuid(*parts) -> str:
