@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
@@ -51,7 +53,7 @@ def by_least_hash(docs: DataFrame, text_col: str, rows: int) -> DataFrame:
 
 
 #: A table of at most so many rows is broadcast; what is larger is joined by shuffle.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 
 def join_hot(rows: DataFrame, table: DataFrame, key: str, n_col: str, total: int, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
@@ -103,15 +105,34 @@ def trainable(id_col: str | Column = "doc_id") -> Column:
     return c.isNotNull() & ~held_out(c)
 
 
+def release() -> None:
+    """Give memory that is free back to the system: idle Python workers stay, and executors count them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no GNU C library
+        pass
+
+
 def arrow_column(fn: Callable[[pa.Array], pa.Array], return_type: str, *cols: Column | str) -> Column:
     """An Arrow-batched column of ``fn``; marked non-deterministic so that the plan evaluates it once."""
-    udf = F.arrow_udf(fn, return_type).asNondeterministic()
+
+    @functools.wraps(fn)
+    def column(*arrays):
+        try:
+            return fn(*arrays)
+        finally:
+            release()
+
+    udf = F.arrow_udf(column, return_type).asNondeterministic()
     return udf(*[F.col(c) if isinstance(c, str) else c for c in cols])
 
 
-def texts(array: pa.Array) -> list[str]:
-    """Python strings of an Arrow text array, null as the empty string."""
-    return [x or "" for x in array.to_pylist()]
+def texts(array: pa.Array, step: int = 512) -> Iterator[str]:
+    """Python strings of an Arrow text array, null as the empty string, a few at a time."""
+    for k in range(0, len(array), step):
+        for x in array[k : k + step].to_pylist():
+            yield x or ""
 
 
 def with_fields(df: DataFrame, struct: Column, names: list[str]) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_column
+from ._common import arrow_column, texts
 
 _WORD = re.compile(r"\w+")
 
@@ -197,7 +197,7 @@ def _matcher(held):
     names = [f.name for f in _KIND.value_type]
 
     def column(array: pa.Array) -> pa.Array:
-        return pa.array([[dict(zip(names, m, strict=True)) for m in held.value.matches(t)] for t in array.to_pylist()], _KIND)
+        return pa.array([[dict(zip(names, m, strict=True)) for m in held.value.matches(t)] for t in texts(array)], _KIND)
 
     return column
 

@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from ._common import arrow_column, texts, with_fields
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
-#: Numerals that count as word characters but are neither letters nor decimal digits.
-_NUMERALS = re.compile("[" + "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()) + "]+")
+#: Numerals that count as word characters but are neither letters nor decimal digits. Only the class of the
+#: first plane is quick to test, so texts beyond it are tested again.
+_CLASS = lambda a, b: re.compile("[" + "".join(c for c in map(chr, range(a, b)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()) + "]+")
+_NUMERALS, _FAR_NUMERALS = _CLASS(0x80, 0x10000), _CLASS(0x10000, 0x20000)
 OUT = ["lang_pred", "score", "lang_distance", "lang_rejected"]
 OUT_TYPE = "struct<lang_pred:string,score:double,lang_distance:double,lang_rejected:boolean>"
 
@@ -66,7 +68,10 @@ def codes(text: str, config: LangIdConfig) -> np.ndarray:
     """Hashed n-gram numbers of a text, repeats included."""
     clean = _NOT_LETTERS.sub(" ", text.lower())
     if not clean.isascii():
-        clean = _NUMERALS.sub(" ", clean)
+        if _NUMERALS.search(clean):
+            clean = _NUMERALS.sub(" ", clean)
+        if 2 * len(clean) != len(clean.encode("utf-16-le", "replace")):
+            clean = _FAR_NUMERALS.sub(" ", clean)
     clean = clean.strip()
     if not clean:
         return np.zeros(0, np.uint32)
@@ -117,16 +122,17 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col
         found = _spherical_kmeans(x, config)
         owner += [k] * len(found)
         cents.append(found)
-        points.append((k, [length_class(len(g)) for g in grams], x))
+        points += [(k, length_class(len(g)), at := np.flatnonzero(v), v[at]) for g, v in zip(grams, x, strict=True)]
+        del x, grams
     if not cents:
         return LangIdModel(config, [], np.zeros(0, np.int64), idf, np.zeros((dims, 0), np.float32))
     every, of = np.concatenate(cents).T.copy(), np.array(owner)
-    own, foreign = [], []
-    for k, lengths, x in points:
-        cos = x @ every
-        own += zip(lengths, cos[:, of == k].max(1).tolist(), strict=True)
-        if len(points) > 1:
-            foreign += zip(lengths, cos[:, of != k].max(1).tolist(), strict=True)
+    own, foreign, several = [], [], len(set(owner)) > 1
+    for k, length, at, v in points:
+        cos = v @ every[at]
+        own.append((length, float(cos[of == k].max())))
+        if several:
+            foreign.append((length, float(cos[of != k].max())))
     return LangIdModel(config, languages, of, idf, every, _floors(own, config, foreign))
 
 

@@ -67,7 +67,7 @@ class Encoder:
     bytes; the older one is dropped when the younger is full.
     """
 
-    def __init__(self, path: str, width: int = 4, memory: int = 64 << 20):
+    def __init__(self, path: str, width: int = 4, memory: int = 40 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -147,7 +147,7 @@ class Encoder:
         sizes = np.cumsum(pc.binary_length(array).to_numpy())
         at = 0
         while at < len(array):
-            to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + (8 << 20), "right")))
+            to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + (4 << 20), "right")))
             part, at = array[at:to], to
             if self.lead is None:
                 yield from (self._whole(t.as_py()) for t in part)
@@ -289,7 +289,7 @@ class ShardReader:
         """All documents in order, reading about 8 MB at a time."""
         k, n = 0, len(self.ids)
         while k < n:
-            e = max(k + 1, int(np.searchsorted(self.offsets, self.offsets[k] + np.uint64(8 << 20), "right")) - 1)
+            e = max(k + 1, int(np.searchsorted(self.offsets, self.offsets[k] + np.uint64(4 << 20), "right")) - 1)
             self.source.seek(int(self.offsets[k]))
             base, chunk = int(self.offsets[k]), self.source.read(int(self.offsets[min(e, n)] - self.offsets[k]))
             for j in range(k, min(e, n)):
