@@ -20,13 +20,18 @@ DECORATIVE = re.compile("[▶→←▼▲•·◆◇◊✓✗✔✘‣⁃◦]")
 
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WS = re.compile(f"[{SPACE}]+")
-_EDGE = re.compile(f"^[{SPACE}]+|[{SPACE}]+$")
+_STRIP = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = {"script", "style", "iframe", "xmp", "noembed", "noframes"}
 _RCDATA = {"title", "textarea"}
 _CLOSES_P = BLOCKS | {"address", "center", "details", "dialog", "dir", "dl", "fieldset", "figcaption", "form", "hgroup", "hr", "menu", "search", "summary", "dd", "dt"} - {"tr"}
 _FORMATTING = {"a", "b", "big", "code", "em", "font", "i", "nobr", "s", "small", "strike", "strong", "tt", "u"}
 _SCOPE = {"applet", "caption", "html", "table", "td", "th", "marquee", "object", "template"}
+_P_SCOPE = _SCOPE | {"button"}
+_LI_SCOPE = _P_SCOPE | {"li", "ul", "ol"}
+_REOPENING = _FORMATTING | {"span", "br", "img", "input", "label", "sup", "sub"}
 _HEAD = {"base", "basefont", "bgsound", "link", "meta", "noframes", "script", "style", "template", "title", "noscript"}
 _TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|$)|(?P<decl>[!?][^>]*>?)|(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
 _ATTR = re.compile(r"([^\s=/>\"'][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -106,7 +111,7 @@ class Builder:
             for k, v in _attributes(raw).items():
                 self.body.attrs.setdefault(k, v)
             return None
-        node = Node(name, _attributes(raw) if raw and not raw.isspace() else {})
+        node = Node(name, _attributes(raw) if raw and not raw.isspace() else None)
         if self.body is None and name in _HEAD:
             if self.head is None:
                 self.head = Node("head")
@@ -118,10 +123,10 @@ class Builder:
             return node
         self._body()
         if name in _CLOSES_P:
-            self._pop_to("p", _SCOPE | {"button"})
+            self._pop_to("p", _P_SCOPE)
         if name == "li":
             self._implied({"li"}, {"ul", "ol"} | _SCOPE)
-            self._pop_to("p", _SCOPE | {"button", "li", "ul", "ol"})
+            self._pop_to("p", _LI_SCOPE)
         elif name in ("dd", "dt"):
             self._implied({"dd", "dt"}, {"dl"} | _SCOPE)
         elif name in ("td", "th"):
@@ -136,12 +141,12 @@ class Builder:
                 self._implied(inner, {"table", "html"})
         elif name in ("option", "optgroup"):
             self._implied({"option"}, {"select", "datalist"})
-        elif name[0] == "h" and name[1:].isdigit() and self.stack[-1].name in ("h1", "h2", "h3", "h4", "h5", "h6"):
+        elif name in _HEADINGS and self.stack[-1].name in ("h1", "h2", "h3", "h4", "h5", "h6"):
             self.stack.pop()
         if name == "a":
             self.lost = [n for n in self.lost if n.name != "a"]
             self._pop_to("a")
-        if name in _FORMATTING or name in ("span", "br", "img", "input", "label", "sup", "sub"):
+        if self.lost and name in _REOPENING:
             self._reopen()
         self._add(node, name, raw)
         return node
@@ -219,7 +224,8 @@ def parse(source: str) -> Node:
             at = end
             continue
         if k > at:
-            b.text(_html.unescape(source[at:k]))
+            data = source[at:k]
+            b.text(_html.unescape(data) if "&" in data else data)
         at = m.end()
         if m["name"] is None:
             continue
@@ -259,10 +265,12 @@ def all_text(node: Node) -> str:
 
 
 def trim(s: str) -> str:
-    return _EDGE.sub("", s)
+    return s.strip(_STRIP)
 
 
 def compress(s: str) -> str:
+    if s.isascii() and not _SEPARATORS.search(s):  # str.split takes these four for blanks, too
+        return " ".join(s.split())
     return _WS.sub(" ", DECORATIVE.sub("", s)).strip(" ")
 
 
@@ -276,27 +284,47 @@ def compress_block(s: str) -> str:
     return trim("\n".join(lines))
 
 
-def content_root(doc: Node) -> Node | None:
-    """article, else main, else role=main, else the div with most text, else body."""
-    first: dict[str, Node] = {}
-    divs = []
-    for x in walk(doc):
-        if isinstance(x, Node):
-            if x.name in ("article", "main", "body"):
-                first.setdefault(x.name, x)
-            if x.attrs.get("role") == "main":
+class Index:
+    """What the queries of a tree need, from one walk: the first element of each kind, in document order."""
+
+    __slots__ = ("first", "divs", "metas")
+
+    def __init__(self, doc: Node):
+        self.first, self.divs, self.metas = {}, [], []
+        first, stack = self.first, doc.children[::-1]
+        while stack:
+            x = stack.pop()
+            if isinstance(x, str):
+                continue
+            name = x.name
+            if name in _INDEXED:
+                if name == "meta":
+                    self.metas.append(x)
+                elif name == "div":
+                    self.divs.append(x)
+                elif name not in first:
+                    first[name] = x
+            if x.attrs and x.attrs.get("role") == "main":
                 first.setdefault("role", x)
-            if x.name == "div":
-                divs.append(x)
+            if x.children:
+                stack += x.children[::-1]
+
+
+_INDEXED = frozenset(("article", "main", "body", "title", "h1", "meta", "div"))
+
+
+def content_root(doc: Node, index: Index | None = None) -> Node | None:
+    """article, else main, else role=main, else the div with most text, else body."""
+    index = index or Index(doc)
     for key in ("article", "main", "role"):
-        if key in first:
-            return first[key]
-    if divs:
+        if key in index.first:
+            return index.first[key]
+    if index.divs:
         sizes = _sizes(doc)
-        best = max(divs, key=lambda d: sizes[id(d)])
+        best = max(index.divs, key=lambda d: sizes[id(d)])
         if sizes[id(best)] > 0:
             return best
-    return first.get("body")
+    return index.first.get("body")
 
 
 def _sizes(doc: Node) -> dict[int, int]:
@@ -313,23 +341,16 @@ def _sizes(doc: Node) -> dict[int, int]:
     return sizes
 
 
-def find(doc: Node, name: str, **attrs: str) -> Node | None:
-    for x in walk(doc):
-        if isinstance(x, Node) and x.name == name and all(x.attrs.get(k) == v for k, v in attrs.items()):
-            return x
-    return None
-
-
-def title(doc: Node) -> str:
+def title(doc: Node, index: Index | None = None) -> str:
+    index = index or Index(doc)
     for name in ("title", "h1"):
-        node = find(doc, name)
-        if node is not None and (t := trim(all_text(node))):
+        if name in index.first and (t := trim(all_text(index.first[name]))):
             return t
     return ""
 
 
-def metadata(doc: Node) -> dict[str, str | None]:
-    metas = [x for x in walk(doc) if isinstance(x, Node) and x.name == "meta"]
+def metadata(doc: Node, index: Index | None = None) -> dict[str, str | None]:
+    metas = (index or Index(doc)).metas
 
     def first(*rules: tuple[str, str]) -> str | None:
         for key, value in rules:
@@ -447,8 +468,8 @@ class _Buffer:
         return "".join(self.parts)
 
 
-def to_text(doc: Node, base: str) -> tuple[str, list[dict]]:
-    root, links = content_root(doc), Links(base)
+def to_text(doc: Node, base: str, index: Index | None = None) -> tuple[str, list[dict]]:
+    root, links = content_root(doc, index), Links(base)
     out = [_Buffer()]
     for x, opening in _events(root) if root else ():
         top = out[-1]
@@ -478,8 +499,8 @@ _PREFIX = {f"h{k}": "\n" + "#" * k + " " for k in range(1, 7)} | {"li": "\n- ",
 _NEWLINE = {"p", "div", "section", "h1", "h2", "h3", "h4", "h5", "h6"}
 
 
-def to_markdown(doc: Node, base: str) -> tuple[str, list[dict]]:
-    root, links = content_root(doc), Links(base)
+def to_markdown(doc: Node, base: str, index: Index | None = None) -> tuple[str, list[dict]]:
+    root, links = content_root(doc, index), Links(base)
     out = [_Buffer()]
     for x, opening in _events(root) if root else ():
         if isinstance(x, str):
@@ -506,9 +527,9 @@ def to_markdown(doc: Node, base: str) -> tuple[str, list[dict]]:
     return out[0].value(), links.refs
 
 
-def to_blocks(doc: Node, base: str) -> tuple[list[dict], list[dict]]:
+def to_blocks(doc: Node, base: str, index: Index | None = None) -> tuple[list[dict], list[dict]]:
     """Typed blocks; an inner block comes before the block around it."""
-    root, links = content_root(doc), Links(base)
+    root, links = content_root(doc, index), Links(base)
     blocks: list[dict] = []
     loose: list[list[str]] = [[]]
     anchor = None
@@ -611,20 +632,37 @@ def fit(body: str, refs: list[dict], most: int | None) -> tuple[str, list[dict]]
 
 def fit_blocks(blocks: list[dict], refs: list[dict], most: int | None) -> tuple[str, list[dict]]:
     """The longest run of leading blocks whose JSON fits; always valid JSON."""
+    whole = blocks_json(blocks, kept := _cited_refs(blocks, refs))
+    if most is None or estimate(whole) <= most:
+        return whole, kept
+    # Costs add up: those of the frame, of the blocks so far and of the references they cite so far.
+    known = {r["index"]: r for r in refs}
+    cost = lambda b, r: sum(blocks_json(b, r).encode("utf-8", "replace").translate(_COST))
+    empty = cost([], [])
+    first_block, first_ref = None, None
+    n, total, seen = 0, empty, set()
+    for k, b in enumerate(blocks):
+        one = cost([b], []) - empty
+        if first_block is None:
+            first_block = cost([b, b], []) - empty - 2 * one  # what a second item adds beyond the first, less its frame
+        total += one + (first_block if k else 0)
+        for i in sorted(cited(b["text"]) - seen):
+            if i in known:
+                more = cost([], [known[i]]) - empty
+                if first_ref is None:
+                    first_ref = cost([], [known[i]] * 2) - empty - 2 * more
+                total += more + (first_ref if seen else 0)
+                seen.add(i)
+        if total // 4 > most:
+            break
+        n = k + 1
+    kept = _cited_refs(blocks[:n], refs)
+    return blocks_json(blocks[:n], kept), kept
 
-    def render(n: int) -> tuple[str, list[dict]]:
-        marks = cited(" ".join(b["text"] for b in blocks[:n]))
-        kept = [r for r in refs if r["index"] in marks]
-        return blocks_json(blocks[:n], kept), kept
-
-    whole = render(len(blocks))
-    if most is None or estimate(whole[0]) <= most:
-        return whole
-    lo, hi = 0, len(blocks)
-    while lo < hi:
-        mid = (lo + hi + 1) // 2
-        lo, hi = (mid, hi) if estimate(render(mid)[0]) <= most else (lo, mid - 1)
-    return render(lo)
+
+def _cited_refs(blocks: list[dict], refs: list[dict]) -> list[dict]:
+    marks = cited(" ".join(b["text"] for b in blocks))
+    return [r for r in refs if r["index"] in marks]
 
 
 def depth(source: str) -> int:

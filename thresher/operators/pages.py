@@ -32,48 +32,58 @@ def output_name(name: str | None) -> str:
 
 def convert_one(html: str, url: str, output: str, most: int | None) -> dict:
     doc = dom.parse(html)
-    name, blocks = dom.title(doc), None
+    index = dom.Index(doc)
+    name, blocks = dom.title(doc, index), None
     if output == "structured":
-        blocks, refs = dom.to_blocks(doc, url)
+        blocks, refs = dom.to_blocks(doc, url, index)
         content, refs = dom.fit_blocks(blocks, refs, most)
         blocks = json.loads(content)["blocks"]
         blocks = [{"kind": b["kind"], "level": b.get("level"), "text": b["text"]} for b in blocks]
     elif output == "markdown":
-        body, refs = dom.to_markdown(doc, url)
+        body, refs = dom.to_markdown(doc, url, index)
         content = dom.compress_block(body)
         if most is not None:
             content = dom.truncate(content, most)
             refs = [r for r in refs if r["url"] in content]
     else:
-        body, refs = dom.to_text(doc, url)
+        body, refs = dom.to_text(doc, url, index)
         body = dom.compress_block(body)
         first, _, rest = body.partition("\n")
         if name and dom.compress(first) == dom.compress(name):
             body = rest.lstrip("\n")
         content, refs = dom.fit(body, refs, most)
-    return {"title": name, "metadata": dom.metadata(doc), "content": content, "references": refs, "blocks": blocks}
+    return {"title": name, "metadata": dom.metadata(doc, index), "content": content, "references": refs, "blocks": blocks}
 
 
 def _converter(output: str, most: int | None):
-    def column(html: pa.Array, url: pa.Array) -> pa.Array:
-        return pa.array([None if h is None else convert_one(h, u or "", output, most) for h, u in zip(html.to_pylist(), url.to_pylist(), strict=True)], _OUT)
+    def column(body: pa.Array, url: pa.Array, media: pa.Array) -> pa.Array:
+        out = []
+        for h, u, kind in zip(body.to_pylist(), url.to_pylist(), media.to_pylist(), strict=True):
+            if h is None:
+                out.append(None)
+            elif kind == "json":
+                out.append({"content": _pretty_one(h)})
+            else:
+                out.append(convert_one(h, u or "", output, most))
+        return pa.array(out, _OUT)
 
     return column
 
 
-def converted(html: Column, url: Column, output: str = "text", most: int | None = None) -> Column:
-    """The html branch as one struct column; evaluated once."""
-    return F.arrow_udf(_converter(output_name(output), most), OUT_TYPE).asNondeterministic()(html, url)
+def converted(body: Column, url: Column, media: Column, output: str = "text", most: int | None = None) -> Column:
+    """The html and JSON branches as one struct column (null bodies: null), so that rows cross into Python once. JSON has its content only, before any budget."""
+    return F.arrow_udf(_converter(output_name(output), most), OUT_TYPE).asNondeterministic()(body, url, media)
+
+
+def _pretty_one(body: str) -> str:
+    try:
+        return json.dumps(json.loads(body), indent=2, sort_keys=True, ensure_ascii=False)
+    except ValueError:
+        return dom.trim(body)
 
 
 def _pretty(body: pa.Array) -> pa.Array:
-    out = []
-    for b in body.to_pylist():
-        try:
-            out.append(None if b is None else json.dumps(json.loads(b), indent=2, sort_keys=True, ensure_ascii=False))
-        except ValueError:
-            out.append(dom.trim(b))
-    return pa.array(out, pa.string())
+    return pa.array([None if b is None else _pretty_one(b) for b in body.to_pylist()], pa.string())
 
 
 def json_pretty(body: Column) -> Column:
@@ -86,10 +96,10 @@ def json_pretty(body: Column) -> Column:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt over all cores if it has fewer partitions than half of them (a small or
-    unsplittable file); a large input keeps its scan partitions and isn't shuffled."""
+    """``df`` dealt over all cores, two partitions each, if it has less than four partitions a core: splits of a
+    file may be empty but for one, as row groups can't be cut. A larger input keeps its scan partitions and isn't shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < 4 * cores else df
 
 
 def convert_pages(df: DataFrame, body: str = "html", url: str = "url", content_type: str | None = None, output: str = "text", max_tokens: int | None = None) -> DataFrame:
@@ -101,16 +111,16 @@ def convert_pages(df: DataFrame, body: str = "html", url: str = "url", content_t
     header = F.col(content_type) if content_type else F.lit(None).cast("string")
     raw = F.coalesce(F.col(body), F.lit(""))
     base = spread(df).withColumns({"__body": raw, "__url": F.coalesce(F.col(url), F.lit("")), "__ct": header}).withColumn("__media", W.media_type(F.col("__ct"), F.col("__body")))
-    base = base.withColumn("__depth", F.when(F.col("__media") == "html", W.nesting_depth(F.col("__body"))))
-    deep = F.col("__depth") > W.MAX_DEPTH
-    html = F.when((F.col("__media") == "html") & ~deep, F.col("__body"))
-    base = base.withColumn("__c", converted(html, F.col("__url"), kind, max_tokens))
+    # So deep a page has a tag of three bytes or more a level: shorter ones needn't be scanned.
+    long = F.octet_length("__body") > 3 * W.MAX_DEPTH
+    base = base.withColumn("__depth", F.when((F.col("__media") == "html") & long, W.nesting_depth(F.col("__body"))))
+    deep = F.coalesce(F.col("__depth") > W.MAX_DEPTH, F.lit(False))
+    crosses = F.when(F.col("__media").isin("html", "json") & ~deep, F.col("__body"))
+    base = base.withColumn("__c", converted(crosses, F.col("__url"), F.col("__media"), kind, max_tokens))
     budget = lambda c: T.truncate_tokens(c, max_tokens) if max_tokens is not None else c
     refused = F.format_string(f"[document refused: nesting depth %d exceeds the limit of {W.MAX_DEPTH} — parsing it would take minutes]", F.col("__depth"))
     is_json, is_text = F.col("__media") == "json", F.col("__media") == "text"
-    base = base.withColumn("__pretty", json_pretty(F.when(is_json, F.col("__body"))))
-    pretty = F.col("__pretty")
-    content = F.when(deep, refused).when(F.col("__media") == "html", F.col("__c.content")).when(is_json, budget(pretty)).when(is_text, budget(T.trim_space(F.col("__body")))).otherwise(W.binary_summary(F.col("__ct"), F.col("__body")))
+    content = F.when(deep, refused).when(F.col("__media") == "html", F.col("__c.content")).when(is_json, budget(F.col("__c.content"))).when(is_text, budget(T.trim_space(F.col("__body")))).otherwise(W.binary_summary(F.col("__ct"), F.col("__body")))
     base = base.withColumn("__content", content)
     status = F.when(deep, "too_complex").otherwise(W.content_status(F.when(F.col("__media") == "html", "html").otherwise("other"), F.col("__content"), F.col("__body"), F.lit(kind == "structured")))
     status = F.when(F.col("__media").isin("html") | deep, status).when(T.trim_space(F.col("__content")) == "", "empty").otherwise("ok")
@@ -124,7 +134,7 @@ def convert_pages(df: DataFrame, body: str = "html", url: str = "url", content_t
         "token_estimate": T.token_estimate(F.col("__content")),
         "status": status,
         "references": F.coalesce(F.col("__c.references"), none),
-        "metadata": F.col("__c.metadata"),
+        "metadata": F.when(~is_json, F.col("__c.metadata")),
         "note": W.status_note(status),
     }
     keep = [F.col(f"`{c}`") for c in df.columns if c not in names]

@@ -40,7 +40,7 @@ _SQ = lambda s: "'" + s.replace("'", "''") + "'"
 
 
 def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.expr(MARKED).alias("t"))
+    return pages.spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.expr(MARKED).alias("t"))
 
 
 def _compress(x: str) -> str:
