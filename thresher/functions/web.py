@@ -78,18 +78,16 @@ def status_note(status: Column) -> Column:
 
 
 def nesting_depth(html: Column) -> Column:
-    """Deepest open tags: comments and declarations cut, tags counted in order."""
-    clean = F.regexp_replace(F.regexp_replace(html, r"(?s)<!--.*?-->", ""), r"(?s)<!--.*$", "")
-    clean = F.regexp_replace(clean, r"<[!?][^>]*>", "")
-    tags = F.regexp_extract_all(clean, F.lit(r"</?[A-Za-z0-9]+[^>]*>"), F.lit(0))
-    void = f"(?i)^<({'|'.join(VOID)})(?![A-Za-z0-9])"
+    """Deepest open tags: comments, declarations and tags in the order in which they stand, so that none hides in another."""
+    marks = F.regexp_extract_all(html, F.lit(r"<!--(?s:.*?)(?:-->|\z)|<[!?][^>]*(?:>|\z)|</?[A-Za-z0-9]+[^>]*>"), F.lit(0))
+    still = f"(?i)^<(?:[!?]|(?:{'|'.join(VOID)})(?![A-Za-z0-9]))"
     start = F.struct(F.lit(0).alias("d"), F.lit(0).alias("m"))
 
     def step(s: Column, t: Column) -> Column:
-        move = F.when(t.startswith("</"), -1).when(t.endswith("/>") | t.rlike(void), 0).otherwise(1)
+        move = F.when(t.startswith("</"), -1).when(t.rlike(still) | t.endswith("/>"), 0).otherwise(1)
         return F.struct((s["d"] + move).alias("d"), F.greatest(s["m"], s["d"] + move).alias("m"))
 
-    return F.aggregate(tags, start, step, lambda s: s["m"])
+    return F.aggregate(marks, start, step, lambda s: s["m"])
 
 
 def guard_scheme(url: Column) -> Column:
@@ -97,7 +95,9 @@ def guard_scheme(url: Column) -> Column:
 
 
 def url_host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))
+    """The host in lower case, percent escapes decoded."""
+    host = F.lower(F.regexp_extract(trim_space(url), r"^[A-Za-z][A-Za-z0-9+.-]*:[/\\\\]{2,}(?:[^/?#@\\\\]*@)?(\[[^\]]*\]|[^/?#:\\\\]*)", 1))
+    return F.when(host.contains("%"), F.lower(F.coalesce(F.try_url_decode(F.replace(host, F.lit("+"), F.lit("%2B"))), host))).otherwise(host)
 
 
 def url_port(url: Column) -> Column:
@@ -110,9 +110,15 @@ def guard_port(url: Column) -> Column:
 
 
 def ipv4_number(host: Column) -> Column:
-    parts = F.transform(F.split(F.regexp_extract(host, r"^(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})$", 1), r"\."), lambda x: x.try_cast("bigint"))
-    whole = F.when((F.size(parts) == 4) & F.forall(parts, lambda x: x <= 255), parts)
-    return F.aggregate(whole, F.lit(0).cast("bigint"), lambda a, x: a * 256 + x)
+    """The address that a host is read as: up to four parts, decimal, octal (0) or hexadecimal (0x), the last filling what is left; null where it is none."""
+    parts = F.split(F.regexp_replace(F.lower(host), r"\.$", ""), r"\.")
+    number = lambda p: F.when(p.rlike("^0x[0-9a-f]*$"), F.conv(F.concat(F.lit("0"), F.substring(p, 3, 16)), 16, 10)).when(p.rlike("^0[0-7]+$"), F.conv(p, 8, 10)).when(p.rlike("^(?:0|[1-9][0-9]*)$"), p).try_cast("bigint")
+    n = F.size(parts)
+    numbers = F.transform(parts, number)
+    last = F.element_at(numbers, -1)
+    fits = (n <= 4) & F.forall(F.slice(numbers, 1, F.greatest(n - 1, F.lit(0))), lambda x: x.isNotNull() & (x <= 255)) & (last < F.call_function("shiftleft", F.lit(1).cast("bigint"), (8 * (5 - n)).cast("int")))
+    high = F.aggregate(F.slice(numbers, 1, F.greatest(n - 1, F.lit(0))), F.lit(0).cast("bigint"), lambda a, x: a * 256 + x)
+    return F.when(host.rlike("^[0-9a-fA-FxX.]+$") & fits, F.call_function("shiftleft", high, (8 * (5 - n)).cast("int")) + last)
 
 
 def guard_ipv4(host: Column) -> Column:
@@ -139,7 +145,20 @@ def ddg_unwrap(href: Column) -> Column:
     h = trim_space(href)
     absolute = F.when(h.startswith("//"), F.concat(F.lit("https:"), h)).otherwise(h)
     target = F.regexp_extract(absolute, r"[?&]uddg=([^&#]*)", 1)
-    return F.when(h == "", "").when(target != "", F.coalesce(F.try_url_decode(target), target)).otherwise(absolute)
+    return F.when(h == "", "").when(target != "", F.coalesce(F.try_url_decode(target), target)).otherwise(normalised(absolute))
+
+
+def normalised(url: Column) -> Column:
+    """An http or https URL with scheme and host in lower case, no default port and a path; others as they are.
+    Blanks and non-ASCII bytes of the rest are percent-encoded."""
+    part = lambda k: F.regexp_extract(url, r"^(?i)(https?)://([^/?#]*)([^?#]*)(.*)$", k)
+    scheme, host = F.lower(part(1)), F.lower(part(2))
+    host = F.regexp_replace(host, F.when(scheme == "http", ":(?:80)?$").otherwise(":(?:443)?$"), F.lit(""))
+    rest = F.concat(F.when(part(3) == "", "/").otherwise(part(3)), part(4))
+    plain, encoded = rest.rlike("^[!-~]*$"), F.replace(F.url_encode(rest), F.lit("+"), F.lit("%20"))
+    for c in "!#$%&'()+,/:;=?@[]~^|":
+        encoded = F.replace(encoded, F.lit(f"%{ord(c):02X}"), F.lit(c))
+    return F.when(part(2) != "", F.concat(scheme, F.lit("://"), host, F.when(plain, rest).otherwise(encoded))).otherwise(url)
 
 
 def serp_status(html: Column, n: Column, has_results_page: Column) -> Column:

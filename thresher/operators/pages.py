@@ -214,6 +214,14 @@ def explode_links(df: DataFrame, doc: str, html: str, url: str) -> DataFrame:
     return spread(df).select(F.col(doc), F.posexplode(udf(F.col(html), F.col(url))).alias("pos", "a")).select(doc, "pos", "a.*")
 
 
+def guard_url(url: Column) -> Column:
+    """Why a URL is refused before any name is looked up (scheme, port, address, local name); null where it isn't."""
+    host = W.url_host(url)
+    six = host.startswith("[")
+    literal = F.when(six, guard_ip(F.when(six, host))).otherwise(F.coalesce(W.guard_ipv4(host), F.lit(False)))
+    return F.when(~F.coalesce(W.guard_scheme(url), F.lit(False)), "scheme").when(~W.guard_port(url), "port").when(literal, "address").when(W.guard_localname(F.regexp_replace(host, r"\.$", "")), "local name")
+
+
 def guard_ip(host: Column) -> Column:
     """True where an IPv6 (or IPv4) literal is not public; null for other hosts."""
 

@@ -118,7 +118,12 @@ def unwrap(href: str) -> str:
     if h.startswith("//"):
         h = f"https:{h}"
     target = re.search(r"[?&]uddg=([^&#]*)", h)
-    return unquote_plus(target[1]) if target and target[1] else h
+    if target and target[1]:
+        return unquote_plus(target[1])
+    try:
+        return dom.normalise_url(h) or h
+    except ValueError:
+        return h
 
 
 def _hits(found: list[dict], most: int) -> list[dict]:

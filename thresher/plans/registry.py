@@ -204,19 +204,23 @@ def retry_class(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", W.retry_class(F.col("event_id") % 600).alias("transient"))
 
 
-@query("SELECT page_id, least(strlen(html), 1000)::BIGINT AS n, least(strlen(html), 1000)::BIGINT AS h FROM pages")
+@query("SELECT page_id, least(strlen(html), 1000)::BIGINT AS n, sha256(from_hex(left(hex(encode(html)), 2000))) AS h FROM pages")
 def body_cap(spark, sf_dir):
-    n = F.octet_length(W.body_cap(F.col("html").cast("binary"), 1000)).cast("bigint")
-    return table(spark, sf_dir, "pages").select("page_id", n.alias("n"), n.alias("h"))
+    kept = W.body_cap(F.col("html").cast("binary"), 1000)
+    return table(spark, sf_dir, "pages").select("page_id", F.octet_length(kept).cast("bigint").alias("n"), F.sha2(kept, 256).alias("h"))
 
 
+#: Pages whose comments, declarations and tags hide in one another, and their depths.
+_DEEP = [('<a title="<!--"><div><div>', 3), ("<!-- <div> --><p>", 1), ("<div><!-- > <div>", 1), ("<!doctype html><div><br><img/><p/></div>", 1), ("</div></div><div>", 0), ("<?x <div> ?><b><i>", 2), ("<div <span>x", 1), ("<div><div", 1), ("", 0)]
+_DEEP_ROWS = ", ".join(f"({-k - 1}, {d})" for k, (_, d) in enumerate(_DEEP))
 _TAGS = r"regexp_extract_all(regexp_replace(regexp_replace(html, '<!--(?s:.*?)-->', '', 'g'), '<[!?][^>]*>', '', 'g'), '</?[A-Za-z0-9]+[^>]*>')"
 _MOVES = "list_transform(" + _TAGS + f", lambda t: CASE WHEN starts_with(t, '</') THEN -1 WHEN ends_with(t, '/>') OR regexp_matches(lower(t), '^<({'|'.join(W.VOID)})\\b') THEN 0 ELSE 1 END)"
 
 
-@query(f"WITH m AS (SELECT page_id, {_MOVES} AS mv FROM pages), u AS (SELECT page_id, unnest(mv) AS d, generate_subscripts(mv, 1) AS i FROM m), r AS (SELECT page_id, sum(d) OVER (PARTITION BY page_id ORDER BY i) AS s FROM u) SELECT page_id, greatest(max(s), 0)::INT AS depth FROM r GROUP BY 1")
+@query(f"WITH m AS (SELECT page_id, {_MOVES} AS mv FROM pages), u AS (SELECT page_id, unnest(mv) AS d, generate_subscripts(mv, 1) AS i FROM m), r AS (SELECT page_id, sum(d) OVER (PARTITION BY page_id ORDER BY i) AS s FROM u) SELECT page_id, greatest(max(s), 0)::INT AS depth FROM r GROUP BY 1 UNION ALL SELECT k::BIGINT, d FROM (VALUES {_DEEP_ROWS}) AS v(k, d)")
 def nesting_depth(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", W.nesting_depth(F.col("html")).alias("depth"))
+    made = spark.createDataFrame([(-k - 1, h) for k, (h, _) in enumerate(_DEEP)], "page_id long, html string")
+    return table(spark, sf_dir, "pages").select("page_id", "html").unionByName(made).select("page_id", W.nesting_depth(F.col("html")).alias("depth"))
 
 
 # ------------------------------------------------------------ guard
@@ -249,20 +253,32 @@ def guard_localname(spark, sf_dir):
     return urls(spark, sf_dir).select("event_id", W.guard_localname(W.url_host(F.col("u"))).alias("local"))
 
 
-@query()
+#: IPv6 literals, and whether each is refused.
+_SIX = {"::1": 1, "::": 1, "ff02::1": 1, "fe80::1": 1, "fc00::1": 1, "2001:db8::1": 1, "2606:4700::1111": 0, "64:ff9b::a00:1": 1, "64:ff9b::808:808": 0, "2002:a00:1::": 1, "::ffff:10.0.0.1": 1, "::ffff:8.8.8.8": 0}
+
+
+@query(f"SELECT n_nationkey, host, blocked = 1 AS blocked FROM nation JOIN (VALUES {', '.join(f'({k}, {_SQ(h)}, {b})' for k, (h, b) in enumerate(_SIX.items()))}) AS v(k, host, blocked) ON n_nationkey % {len(_SIX)} = k")
 def guard_ipv6(spark, sf_dir):
-    hosts = ["::1", "::", "ff02::1", "fe80::1", "fc00::1", "2001:db8::1", "2606:4700::1111", "64:ff9b::a00:1", "64:ff9b::808:808", "2002:a00:1::", "::ffff:10.0.0.1", "::ffff:8.8.8.8"]
-    pick = F.element_at(F.array(*[F.lit(h) for h in hosts]), (F.col("n_nationkey") % len(hosts) + 1).cast("int"))
+    pick = F.element_at(F.array(*[F.lit(h) for h in _SIX]), (F.col("n_nationkey") % len(_SIX) + 1).cast("int"))
     return table(spark, sf_dir, "nation").select("n_nationkey", pick.alias("host")).withColumn("blocked", pages.guard_ip(F.col("host")))
 
 
-@query()
+#: Literal hosts in every form that reads as an address, with why each URL is refused ('' where it is not).
+_HOSTS = [
+    ("http://[::1]/", "address"), ("http://[::ffff:10.0.0.1]/", "address"), ("http://[fe80::1]:8080/", "address"), ("http://[2606:4700::1111]/", ""), ("http://[64:ff9b::a00:1]/", "address"),
+    ("http://2130706433/", "address"), ("http://0x7f.1/", "address"), ("http://127.1", "address"), ("http://0177.0.0.1/", "address"), ("http://0x7f000001/", "address"), ("http://%31%32%37.0.0.1/", "address"),
+    ("http://127.0.0.1./", "address"), ("http://134744072/", ""), ("http://8.8.8.8/", ""), ("http://user:pw@10.0.0.1/", "address"), ("http://LOCALHOST./", "local name"), ("https://a.b.localhost", "local name"),
+    ("https://example.org:22/", "port"), ("gopher://example.org/", "scheme"), ("https://example.org/", ""), ("http://256.1.1.1.1/", ""), ("http://[::1]:25/", "port"), ("http://1.2.3/", ""), ("http://0/", "address"),
+]
+_HOST_ROWS = ", ".join(f"({-k - 1}, {_SQ(u)}, {_SQ(why)})" for k, (u, why) in enumerate(_HOSTS))
+
+
+@query(f"SELECT event_id, {_URL} AS u, CASE WHEN event_id % 8 IN (2, 7) THEN 'scheme' WHEN event_id % 8 = 1 AND event_id % 12000 IN ({', '.join(map(str, W.BLOCKED_PORTS))}) THEN 'port' WHEN event_id % 8 = 5 THEN 'port' WHEN event_id % 8 = 0 THEN 'address' WHEN event_id % 8 = 6 AND event_id % 64 BETWEEN 16 AND 31 THEN 'address' WHEN event_id % 8 = 4 THEN 'local name' END AS block_reason FROM events UNION ALL SELECT k::BIGINT, u, nullif(why, '') FROM (VALUES {_HOST_ROWS}) AS v(k, u, why)")
 def guard_url(spark, sf_dir):
     """Why each URL is refused before any name is looked up; null where it is not."""
-    u = urls(spark, sf_dir)
-    host = W.url_host(F.col("u"))
-    reason = F.when(~W.guard_scheme(F.col("u")), "scheme").when(~W.guard_port(F.col("u")), "port").when(F.coalesce(W.guard_ipv4(host), F.lit(False)), "address").when(W.guard_localname(host), "local name")
-    return u.select("event_id", "u", reason.alias("block_reason"))
+    literal = spark.createDataFrame([(-k - 1, u) for k, (u, _) in enumerate(_HOSTS)], "event_id long, u string")
+    u = urls(spark, sf_dir).unionByName(literal)
+    return u.withColumn("block_reason", pages.guard_url(F.col("u")))
 
 
 # ------------------------------------------------------------ pages
@@ -386,15 +402,16 @@ def scan_files(spark, sf_dir):
 # ------------------------------------------------------------ search
 
 
-@query("SELECT doc_id, 'https://lite.duckduckgo.com/lite/?q=' || url_encode(left(text, 40)) || CASE doc_id % 3 WHEN 0 THEN '&kp=1' WHEN 1 THEN '&kp=-1' ELSE '' END AS url FROM documents")
+@query("SELECT doc_id, 'https://lite.duckduckgo.com/lite/?q=' || url_encode(text) || CASE doc_id % 3 WHEN 0 THEN '&kp=1' WHEN 1 THEN '&kp=-1' ELSE '' END AS url FROM documents")
 def ddg_url(spark, sf_dir):
     safe = F.when(F.col("doc_id") % 3 == 0, True).when(F.col("doc_id") % 3 == 1, False)
-    return table(spark, sf_dir, "documents").select("doc_id", W.ddg_url(F.left("text", F.lit(40)), safe).alias("url"))
+    return table(spark, sf_dir, "documents").select("doc_id", W.ddg_url(F.col("text"), safe).alias("url"))
 
 
-@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN 'https://d.example/x' ELSE '' END AS url FROM pages")
+@query("SELECT page_id, CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN 'https://d.example/x' WHEN 2 THEN 'https://d.example/' WHEN 3 THEN 'http://d.example:81/A%20b?q=1' ELSE '' END AS url FROM pages")
 def ddg_unwrap(spark, sf_dir):
-    href = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit(" //d.example/l/?x=1&uddg="), F.url_encode("url"), F.lit("&rut=z"))).when(F.col("page_id") % 3 == 1, "//d.example/x").otherwise("  ")
+    k = F.col("page_id") % 5
+    href = F.when(k == 0, F.concat(F.lit(" //d.example/l/?x=1&uddg="), F.url_encode("url"), F.lit("&rut=z"))).when(k == 1, "//d.example/x").when(k == 2, F.when(F.col("page_id") % 2 == 0, "//D.example").otherwise("HTTPS://D.example:443")).when(k == 3, "Http://d.example:81/A b?q=1").otherwise("  ")
     return table(spark, sf_dir, "pages").select("page_id", W.ddg_unwrap(href).alias("url"))
 
 
@@ -444,17 +461,16 @@ def _results(spark, sf_dir):
 
 _RBODY = "n_name || ' [1]' || chr(10) || 'snip' || chr(10) || chr(10) || n_name || 'b [2]'"
 _RREFS = "'References:' || chr(10) || '[1] https://1.example/' || n_nationkey || chr(10) || '[2] https://2.example/' || n_nationkey"
-_N3 = "FROM nation WHERE n_nationkey % 3 = 0"
 
 
-@query(f"SELECT n_nationkey, {_RREFS} AS refs {_N3}")
+@query(f"SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN {_RREFS} ELSE '' END AS refs FROM nation")
 def search_refs(spark, sf_dir):
-    return _results(spark, sf_dir).where("n_nationkey % 3 = 0").select("n_nationkey", T.ref_block(search.references(F.col("results"))).alias("refs"))
+    return _results(spark, sf_dir).select("n_nationkey", T.ref_block(search.references(F.col("results"))).alias("refs"))
 
 
-@query(f"SELECT n_nationkey, {_RBODY} AS body {_N3}")
+@query(f"SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN {_RBODY} ELSE '' END AS body FROM nation")
 def search_body(spark, sf_dir):
-    return _results(spark, sf_dir).where("n_nationkey % 3 = 0").select("n_nationkey", search.body(F.col("results")).alias("body"))
+    return _results(spark, sf_dir).select("n_nationkey", search.body(F.col("results")).alias("body"))
 
 
 @query(f"WITH w AS (SELECT n_name AS query, n_nationkey % 3 AS m, {_RBODY} || chr(10) || chr(10) || {_RREFS} AS t FROM nation) SELECT query, CASE m WHEN 0 THEN 2 ELSE 0 END::BIGINT AS result_count, CASE m WHEN 0 THEN ({_cost('t')}) // 4 ELSE 0 END::BIGINT AS token_estimate, ['ok', 'empty', 'blocked'][m + 1] AS status FROM w")
