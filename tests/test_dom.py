@@ -106,3 +106,31 @@ def test_addresses():
     assert all(blocked_ip(x) for x in ("127.0.0.1", "10.1.2.3", "::1", "fe80::1", "64:ff9b::a00:1", "2002:7f00:1::", "::ffff:10.0.0.1"))
     assert not any(blocked_ip(x) for x in ("8.8.8.8", "2606:4700::1111", "64:ff9b::808:808"))
     assert blocked_ip("example.org") is None
+
+
+def test_row_and_column_forms_agree(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from thresher.functions import web as W
+    from thresher.operators import dom, search
+
+    r = random.Random(3)
+    bits = ["<div>", "</div>", "<br>", "<p", ">", "<!--", "-->", "<a title='<!--'>", "<!x>", "x", "<?p", "/>", "<IMG src=a>", "< ", "\n"]
+    pages = ["".join(r.choice(bits) for _ in range(r.randint(0, 14))) for _ in range(400)]
+    links = ["//D.example", "HTTPS://D.example:443/a b", "http://x.example:80?q=é", "/l/?uddg=https%3A%2F%2Fa.example%2Fb", "", "  https://a.example/p/q?x#y ", "mailto:a@b", "https://a.example:8443"]
+    rows = [(k, p, links[k % len(links)]) for k, p in enumerate(pages)]
+    got = spark.createDataFrame(rows, "k int, h string, u string").select("k", W.nesting_depth(F.col("h")).alias("d"), W.ddg_unwrap(F.col("u")).alias("u")).collect()
+    assert [x["d"] for x in sorted(got)] == [dom.depth(p) for p in pages]
+    assert [x["u"] for x in sorted(got)] == [search.unwrap(u) for _, _, u in rows]
+
+
+def test_charset_labels():
+    from thresher.functions.web import charset_names
+    from thresher.sources.readers import decode_bytes
+
+    names = charset_names()
+    for label, name in {"koi8": "KOI8-R", "gb_2312-80": "GBK", "x-euc-jp": "EUC-JP", "ks_c_5601-1987": "EUC-KR", "ucs-2": "UTF-16LE", "logical": "ISO-8859-8-I", "x-mac-cyrillic": "x-mac-cyrillic", "mac": "macintosh", "cn-big5": "Big5", "dos-874": "windows-874", "sun_eu_greek": "ISO-8859-7", "unicode11utf8": "UTF-8", "iso_8859-2:1987": "ISO-8859-2", "cp1251": "windows-1251"}.items():
+        assert names[label] == name
+    assert all(decode_bytes(b"abc", label)[1] is None for label in names)

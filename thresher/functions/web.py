@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -177,20 +179,35 @@ def rpc_protocol(version: Column) -> Column:
     return F.when(version.isin(*PROTOCOLS), version).otherwise(PROTOCOLS[0])
 
 
+#: Labels of the web platform's encodings that no rule below gives, by canonical name.
+CHARSETS = {
+    "UTF-8": "unicode11utf8 unicode20utf8 x-unicode20utf8", "IBM866": "866 cp866 csibm866", "KOI8-R": "cskoi8r koi koi8 koi8_r", "KOI8-U": "koi8-ru",
+    "macintosh": "csmacintosh mac x-mac-roman", "windows-874": "dos-874 iso-8859-11 iso8859-11 iso885911 tis-620", "x-mac-cyrillic": "x-mac-ukrainian",
+    "windows-1252": "ansi_x3.4-1968 cp819 csisolatin1 ibm819 iso-8859-1 iso-ir-100 iso8859-1 iso88591 iso_8859-1 iso_8859-1:1987 l1 latin1",
+    "windows-1254": "csisolatin5 iso-8859-9 iso-ir-148 iso8859-9 iso88599 iso_8859-9 iso_8859-9:1989 l5 latin5",
+    "GBK": "chinese csgb2312 csiso58gb231280 gb2312 gb_2312 gb_2312-80 iso-ir-58 x-gbk", "Big5": "big5-hkscs cn-big5 csbig5 x-x-big5", "EUC-JP": "cseucpkdfmtjapanese x-euc-jp",
+    "ISO-2022-JP": "csiso2022jp", "Shift_JIS": "csshiftjis ms932 ms_kanji shift-jis sjis windows-31j x-sjis", "EUC-KR": "cseuckr csksc56011987 iso-ir-149 korean ks_c_5601-1987 ks_c_5601-1989 ksc5601 ksc_5601 windows-949",
+    "replacement": "csiso2022kr hz-gb-2312 iso-2022-cn iso-2022-cn-ext iso-2022-kr", "UTF-16BE": "unicodefffe", "UTF-16LE": "csunicode iso-10646-ucs-2 ucs-2 unicode unicodefeff utf-16",
+    "ISO-8859-8-I": "csiso88598i logical", "gb18030": "", "x-user-defined": "",
+}
+#: Registry number, year and further labels of the ISO 8859 parts.
+ISO_PARTS = {
+    2: ("101", "1987", "l2 latin2 csisolatin2"), 3: ("109", "1988", "l3 latin3 csisolatin3"), 4: ("110", "1988", "l4 latin4 csisolatin4"), 5: ("144", "1988", "cyrillic csisolatincyrillic"),
+    6: ("127", "1987", "arabic asmo-708 csiso88596e csiso88596i csisolatinarabic ecma-114 iso-8859-6-e iso-8859-6-i"), 7: ("126", "1987", "csisolatingreek ecma-118 elot_928 greek greek8 sun_eu_greek"),
+    8: ("138", "1988", "csiso88598e csisolatinhebrew hebrew iso-8859-8-e visual"), 10: ("157", "", "l6 latin6 csisolatin6"), 13: ("", "", ""), 14: ("", "", ""), 15: ("", "", "l9 csisolatin9 iso_8859-15"), 16: ("", "", ""),
+}
+
+
+@functools.cache
 def charset_names() -> dict[str, str]:
-    """Charset labels to canonical names, made from Python's own alias table and the few
-    names that the web platform reads differently."""
-    import encodings.aliases as a
-
-    names = {v: v for v in set(a.aliases.values())} | a.aliases
-    web = {"cp932": "Shift_JIS", "shift_jis": "Shift_JIS", "gbk": "GBK", "gb2312": "GBK", "gb18030": "gb18030", "big5": "Big5", "euc_kr": "EUC-KR", "cp949": "EUC-KR", "euc_jp": "EUC-JP", "iso2022_jp": "ISO-2022-JP", "latin_1": "windows-1252", "cp1252": "windows-1252", "iso8859_9": "windows-1254", "koi8_r": "KOI8-R", "koi8_u": "KOI8-U", "utf_16": "UTF-16LE", "utf_16_le": "UTF-16LE", "utf_16_be": "UTF-16BE", "mac_roman": "macintosh", "cp874": "windows-874", "tis_620": "windows-874", "iso8859_11": "windows-874", "cp866": "IBM866"}
-    web |= {f"iso8859_{k}": f"ISO-8859-{k}" for k in (2, 3, 4, 5, 6, 7, 8, 10, 13, 14, 15, 16)} | {f"cp125{k}": f"windows-125{k}" for k in (0, 1, 3, 4, 5, 6, 7, 8)}
-    out = {}
-    for label, codec in names.items():
-        if codec in web:
-            out |= {label: web[codec], label.replace("_", "-"): web[codec]}
-    more = {"sjis": "Shift_JIS", "x-sjis": "Shift_JIS", "ms_kanji": "Shift_JIS", "x-gbk": "GBK", "windows-949": "EUC-KR", "korean": "EUC-KR", "latin1": "windows-1252", "iso-8859-1": "windows-1252", "x-cp1252": "windows-1252", "utf-16": "UTF-16LE", "big5-hkscs": "Big5", "x-x-big5": "Big5", "macintosh": "macintosh"}
-    return out | more | {f"iso-8859-{k}": f"ISO-8859-{k}" for k in (2, 3, 4, 5, 6, 7, 8, 10, 13, 14, 15, 16)} | {f"windows-125{k}": f"windows-125{k}" for k in range(9)}
+    """Charset labels to canonical names: the tables above and the regular spellings of ISO and windows code pages."""
+    out = {label: name for name, labels in CHARSETS.items() for label in [name.lower(), *labels.split()]}
+    for k, (number, year, more) in ISO_PARTS.items():
+        labels = [f"iso-8859-{k}", *([f"iso8859-{k}", f"iso8859{k}"] if k < 16 else []), *([f"iso_8859-{k}"] if k < 9 else []), *([f"iso_8859-{k}:{year}"] if year else []), *([f"iso-ir-{number}"] if number else [])]
+        out |= dict.fromkeys([*labels, *more.split()], f"ISO-8859-{k}")
+    for k in range(9):
+        out |= dict.fromkeys([f"windows-125{k}", f"cp125{k}", f"x-cp125{k}"], f"windows-125{k}")
+    return out
 
 
 def charset_classify(label: Column) -> Column:

@@ -172,7 +172,7 @@ def charset_classify(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", W.charset_classify(F.expr(_LABEL)).alias("c")).select("n_nationkey", "c.kind", "c.label")
 
 
-@query()
+@query(r"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN regexp_replace(text, '[^\x00-\x7F]', 'é', 'g') ELSE text END AS text, NULL::VARCHAR AS undecodable FROM documents")
 def charset_decode(spark, sf_dir):
     raw = F.when(F.col("doc_id") % 2 == 0, F.encode(F.regexp_replace("text", r"[^\x00-\x7F]", "é"), "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
     label = F.when(F.col("doc_id") % 2 == 0, "latin1").otherwise("utf-8")
@@ -337,7 +337,7 @@ def structured_budget(spark, sf_dir):
     return pages.convert_pages(_nav(spark, sf_dir), output="structured", max_tokens=150).select("page_id", "content", "token_estimate")
 
 
-@query()
+@query("SELECT page_id, NULL::VARCHAR AS description, NULL::VARCHAR AS author, NULL::VARCHAR AS published, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, NULL::VARCHAR AS site_name FROM pages")
 def page_meta(spark, sf_dir):
     return pages.convert_pages(table(spark, sf_dir, "pages")).select("page_id", "metadata.*")
 
@@ -359,7 +359,7 @@ def json_sink(spark, sf_dir):
     return out.select("page_id", F.to_json(F.struct("title", "final_url", "content", "content_type", "media", "token_estimate", "status", "references", "metadata")).alias("line"))
 
 
-@query()
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN " + _trim("'{bad ' || text") + " ELSE '{' || chr(10) || '  \"a\": ' || doc_id || ',' || chr(10) || '  \"z\": ' || to_json(source)::VARCHAR || chr(10) || '}' END AS c FROM documents")
 def json_pretty(spark, sf_dir):
     body = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("{bad "), "text")).otherwise(F.to_json(F.struct(F.col("source").alias("z"), F.col("doc_id").alias("a"))))
     return table(spark, sf_dir, "documents").select("doc_id", pages.json_pretty(body).alias("c"))
@@ -387,7 +387,7 @@ def ref_number(spark, sf_dir):
     return pages.number_links(links, "page_id", "pos", "url", "text").select("page_id", "index", "url")
 
 
-@query()
+@query("SELECT strlen(html)::BIGINT AS n, NULL::VARCHAR AS undecodable FROM pages")
 def scan_files(spark, sf_dir):
     """Stored pages written as raw files in the shared folder, one a page, and read back as such: one row a page."""
     import uuid

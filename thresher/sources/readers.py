@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -17,7 +18,12 @@ from ..operators.pages import blocked_ip, convert_pages
 from .transport import USER_AGENT, Tls, opener, transient, truth
 
 #: Python codecs that decode as the web platform does.
-CODECS = {"Shift_JIS": "cp932", "GBK": "gb18030", "gb18030": "gb18030", "Big5": "big5hkscs", "EUC-KR": "cp949", "EUC-JP": "euc_jp", "ISO-2022-JP": "iso2022_jp", "UTF-16LE": "utf_16_le", "UTF-16BE": "utf_16_be", "macintosh": "mac_roman", "windows-874": "cp874", "IBM866": "cp866", "KOI8-R": "koi8_r", "KOI8-U": "koi8_u"}
+CODECS = {"Shift_JIS": "cp932", "GBK": "gb18030", "gb18030": "gb18030", "Big5": "big5hkscs", "EUC-KR": "cp949", "EUC-JP": "euc_jp", "ISO-2022-JP": "iso2022_jp", "UTF-16LE": "utf_16_le", "UTF-16BE": "utf_16_be", "macintosh": "mac_roman", "windows-874": "cp874", "IBM866": "cp866", "KOI8-R": "koi8_r", "KOI8-U": "koi8_u", "ISO-8859-8-I": "iso8859_8", "x-mac-cyrillic": "mac_cyrillic", "UTF-8": "utf-8"}
+
+
+@functools.cache
+def _single_bytes(codec: str) -> dict[int, str]:
+    return {b: bytes((b,)).decode(codec, "ignore") or chr(b) for b in range(128, 256)}
 
 
 def decode_bytes(raw: bytes, label: str | None) -> tuple[str, str | None]:
@@ -31,10 +37,13 @@ def decode_bytes(raw: bytes, label: str | None) -> tuple[str, str | None]:
     for bom, codec in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf_16_le"), (b"\xfe\xff", "utf_16_be")):
         if raw.startswith(bom):
             return raw[len(bom) :].decode(codec, "replace"), None
+    if name == "x-user-defined":  # ASCII, and the upper half in a private range
+        return "".join(chr(b if b < 128 else 0xF780 + b - 128) for b in raw), None
+    if name == "replacement":  # encodings that are never decoded: one sign for any content
+        return "\ufffd" if raw else "", None
     codec = CODECS.get(name) or name.lower().replace("windows-", "cp").replace("iso-", "iso")
     if codec.startswith("cp125"):  # bytes without a character stand for themselves
-        table = {b: bytes((b,)).decode(codec, "ignore") or chr(b) for b in range(256)}
-        return "".join(table[b] for b in raw), None
+        return raw.decode("latin-1").translate(_single_bytes(codec)), None
     return raw.decode(codec, "replace"), None
 
 
@@ -55,14 +64,15 @@ def sniffed_charset(raw: bytes) -> str | None:
 
 
 def charset_decode(raw: Column, label: Column) -> Column:
-    """struct(text, undecodable)."""
-    kind = pa.struct([("text", pa.string()), ("undecodable", pa.string())])
+    """struct(text, undecodable); null bytes give null. UTF-8 and unknown labels stay in built-in expressions."""
 
     def column(raw: pa.Array, label: pa.Array) -> pa.Array:
-        out = [None if r is None else dict(zip(("text", "undecodable"), decode_bytes(r, x), strict=True)) for r, x in zip(raw.to_pylist(), label.to_pylist(), strict=True)]
-        return pa.array(out, kind)
+        return pa.array([None if r is None else decode_bytes(r, x)[0] for r, x in zip(raw.to_pylist(), label.to_pylist(), strict=True)], pa.string())
 
-    return F.arrow_udf(column, "struct<text:string,undecodable:string>").asNondeterministic()(raw, label)
+    named = W.charset_classify(F.coalesce(label, F.lit("")))
+    other = named["kind"] == "supported"
+    text = F.when(other, F.arrow_udf(column, "string").asNondeterministic()(F.when(other, raw), label)).otherwise(F.make_valid_utf8(raw.cast("string")))
+    return F.when(raw.isNotNull(), F.struct(text.alias("text"), F.when(named["kind"] == "unknown", named["label"]).alias("undecodable")))
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
