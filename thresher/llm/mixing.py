@@ -19,7 +19,7 @@ driver sees sums and at most ``groups`` rows.
 
 Defined cases: null text has size 0 and is never taken; null sources are a
 source of their own, last; copies of a row are taken alike but for those of the one
-document where a source's target falls, of which so many are taken as fit; of rows
+document where a source's target falls, of which so many are taken as come nearest; of rows
 that repeat id, text and source but differ elsewhere, one stands for all in ``mix``; a source without
 words has target 0; texts of any length are counted whole; an empty table gives an empty mix. Input columns named like
 an output column are replaced.
@@ -205,7 +205,7 @@ def _tables(docs: DataFrame, id_col: str, text_col: str, source_col: str, config
     inside = placed.join(cuts, (placed.k == cuts.k) & (placed.b == cuts.cut_b)).select(placed.k, "__h", "size", "copies", "fit")
     run = F.sum(F.col("size") * F.col("copies")).over(Window.partitionBy("k").orderBy("__h"))
     inside = inside.withColumn("before", run - F.col("size") * F.col("copies")).where("before <= fit AND before + size * copies > fit")
-    stop = inside.groupBy("k").agg(F.min("__h").alias("cut_h"), F.min_by(F.floor((F.col("fit") - F.col("before")) / F.col("size")), "__h").alias("cut_copies"))
+    stop = inside.groupBy("k").agg(F.min("__h").alias("cut_h"), F.min_by(F.floor((F.col("fit") - F.col("before")) / F.col("size") + 0.5), "__h").alias("cut_copies"))
     full = sources.join(cuts.drop("fit"), "k", "left").join(stop, "k", "left").join(ends, "k", "left")
     return slim, materialise(full, "mixlimits"), n, drawn
 
