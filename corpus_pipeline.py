@@ -36,9 +36,11 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token-id shards of what is left, read back: id, start, count and checksum; one row for each, repeated rows included."""
-    return tokens.encode(docs, tokens.TokenConfig(tokenizer_path(), width=2)).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return tokens.encode(docs, tokens.TokenConfig(tokenizer_path(), width=2, memory=MEMORY)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+#: Of remembered pieces: the workers of this application have run the stages before, too.
+MEMORY = 12 << 20
 STAGES = [("language ID", language), ("near-dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixture), ("token output", token_output)]
 ORACLE_SQL = None
 

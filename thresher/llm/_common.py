@@ -114,6 +114,16 @@ def release() -> None:
         pass
 
 
+#: Rows of an Arrow batch, where the session has Spark's own default of 10,000: rows hold whole texts, and a batch is held on both sides.
+BATCH_ROWS = 2000
+
+
+def bound_batches() -> None:
+    name, spark = "spark.sql.execution.arrow.maxRecordsPerBatch", SparkSession.getActiveSession()
+    if spark is not None and spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def arrow_column(fn: Callable[[pa.Array], pa.Array], return_type: str, *cols: Column | str) -> Column:
     """An Arrow-batched column of ``fn``; marked non-deterministic so that the plan evaluates it once."""
 
@@ -124,6 +134,7 @@ def arrow_column(fn: Callable[[pa.Array], pa.Array], return_type: str, *cols: Co
         finally:
             release()
 
+    bound_batches()
     udf = F.arrow_udf(column, return_type).asNondeterministic()
     return udf(*[F.col(c) if isinstance(c, str) else c for c in cols])
 

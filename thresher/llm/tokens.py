@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import arrow_column, by_least_hash, drop_scratch, open_fs, shared_dir
+from ._common import arrow_column, by_least_hash, drop_scratch, open_fs, release, shared_dir
 
 MAGIC = b"TOKSHRD1"
 _FOOTER = struct.Struct("<QQQB32s8s")
@@ -143,12 +143,11 @@ class Encoder:
 
     def batch(self, array: pa.Array) -> Iterator[bytes]:
         """The serialised ids of every text of an array (null: the empty text), in order."""
-        array = pc.fill_null(array.cast(pa.large_string()), "")
-        sizes = np.cumsum(pc.binary_length(array).to_numpy())
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(array), 0).to_numpy(), dtype=np.int64)
         at = 0
         while at < len(array):
-            to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + (4 << 20), "right")))
-            part, at = array[at:to], to
+            to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + max(1 << 20, self.memory // 10), "right")))
+            part, at = pc.fill_null(array[at:to].cast(pa.large_string()), ""), to
             if self.lead is None:
                 yield from (self._whole(t.as_py()) for t in part)
                 continue
@@ -159,6 +158,8 @@ class Encoder:
             plain = iter(self._pieces(part.filter(pa.array(~odd))) if not odd.all() else ())
             for k, whole in enumerate(odd.tolist()):
                 yield self._whole(part[k].as_py()) if whole else next(plain)
+            del part, odd, plain
+            release()
 
     def counts(self, array: pa.Array) -> np.ndarray:
         """The number of ids of every text of an array."""
@@ -168,14 +169,14 @@ class Encoder:
         return next(self.batch(pa.array([text])))
 
 
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
+_ENCODERS: dict[tuple[str, int, int], Encoder] = {}
 
 
-def encoder(path: str, width: int = 4) -> Encoder:
+def encoder(path: str, width: int = 4, memory: int = 40 << 20) -> Encoder:
     """The worker's encoder for a tokenizer file; made once a process."""
-    if (path, width) not in _ENCODERS:
-        _ENCODERS[path, width] = Encoder(path, width)
-    return _ENCODERS[path, width]
+    if (path, width, memory) not in _ENCODERS:
+        _ENCODERS[path, width, memory] = Encoder(path, width, memory)
+    return _ENCODERS[path, width, memory]
 
 
 @dataclass(frozen=True)
@@ -188,6 +189,7 @@ class TokenConfig:
     dictionary_row_chars: int = 20_000
     dictionary_bytes: int = 64 * 1024
     shard_bytes: int = 64 * 1024 * 1024
+    memory: int = 40 << 20  # of a worker's younger remembered pieces; a tenth of it is split at a time
 
 
 def _zdict(raw: bytes):
@@ -203,7 +205,7 @@ def train_dictionary(docs: DataFrame, config: TokenConfig, text_col: str = "text
 
     drawn = by_least_hash(docs, text_col, 4 * config.dictionary_rows).where((F.length("t") > 0) & (F.length("t") <= config.dictionary_row_chars))
     rows = drawn.groupBy("h").agg(F.min("t").alias("t")).orderBy("h").limit(config.dictionary_rows).collect()
-    enc, end = encoder(config.tokenizer, config.width), config.end_id.to_bytes(config.width, "little")
+    enc, end = encoder(config.tokenizer, config.width, config.memory), config.end_id.to_bytes(config.width, "little")
     samples = [enc(r["t"]) + end for r in rows]
     if len(samples) < 16 or sum(map(len, samples)) < 8 * 1024:
         return b""
@@ -220,7 +222,7 @@ def encode_frames(docs: DataFrame, config: TokenConfig, dictionary: bytes, id_co
     def frames(array: pa.Array) -> pa.Array:
         import zstandard as z
 
-        enc, end = encoder(config.tokenizer, config.width), config.end_id.to_bytes(config.width, "little")
+        enc, end = encoder(config.tokenizer, config.width, config.memory), config.end_id.to_bytes(config.width, "little")
         c = z.ZstdCompressor(level=config.level, dict_data=_zdict(held.value), write_content_size=True)
         n, out = [], []
         for ids in enc.batch(array):
