@@ -144,7 +144,7 @@ def counted(docs: DataFrame, versions: dict[str, str], text_col: str = "text") -
     def column(array: pa.Array) -> pa.Array:
         for p in paths:
             if p not in _COUNTERS:
-                _COUNTERS[p] = Encoder(p, memory=24 << 20)
+                _COUNTERS[p] = Encoder(p, memory=48 << 20)
         return pa.StructArray.from_arrays([pa.array(_COUNTERS[p].counts(array), pa.int64()) for p in paths], names)
 
     kind = "struct<" + ",".join(f"`{n}`:long" for n in names) + ">"

@@ -67,7 +67,7 @@ class Encoder:
     bytes; the older one is dropped when the younger is full.
     """
 
-    def __init__(self, path: str, width: int = 4, memory: int = 40 << 20):
+    def __init__(self, path: str, width: int = 4, memory: int = 100 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -172,7 +172,7 @@ class Encoder:
 _ENCODERS: dict[tuple[str, int, int], Encoder] = {}
 
 
-def encoder(path: str, width: int = 4, memory: int = 40 << 20) -> Encoder:
+def encoder(path: str, width: int = 4, memory: int = 100 << 20) -> Encoder:
     """The worker's encoder for a tokenizer file; made once a process."""
     if (path, width, memory) not in _ENCODERS:
         _ENCODERS[path, width, memory] = Encoder(path, width, memory)
@@ -189,7 +189,7 @@ class TokenConfig:
     dictionary_row_chars: int = 20_000
     dictionary_bytes: int = 64 * 1024
     shard_bytes: int = 64 * 1024 * 1024
-    memory: int = 40 << 20  # of a worker's younger remembered pieces; a tenth of it is split at a time
+    memory: int = 100 << 20  # of a worker's younger remembered pieces; a tenth of it is split at a time
 
 
 def _zdict(raw: bytes):
